@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, token_counts, url_cascade
+from . import bpe, langid, near_dup, packing, token_counts, url_cascade
 
 QUERIES = {
     "op2_url_filters": url_cascade.op2_url_filters,
     "op3_language_id": langid.op3_language_id,
+    "op6_minhash_near_dup": near_dup.op6_minhash_near_dup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_bpe": bpe.op8_bpe,
     "op10_packing": packing.op10_packing,
