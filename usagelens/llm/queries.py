@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, near_dup, packing, token_counts, url_cascade
+from . import bpe, langid, near_dup, packing, suffix_dedup, token_counts, url_cascade
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_url_filters": url_cascade.op2_url_filters,
     "op3_language_id": langid.op3_language_id,
     "op6_minhash_near_dup": near_dup.op6_minhash_near_dup,
