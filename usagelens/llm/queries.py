@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, near_dup, packing, suffix_dedup, token_counts, url_cascade
+from . import anisotropic, bpe, cover_tree, langid, near_dup, packing, suffix_dedup, token_counts, url_cascade
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_url_filters": url_cascade.op2_url_filters,
     "op3_language_id": langid.op3_language_id,
+    "op4_embedding_near_dup": cover_tree.op4_embedding_near_dup,
+    "op5_nearest_neighbours": anisotropic.op5_nearest_neighbours,
     "op6_minhash_near_dup": near_dup.op6_minhash_near_dup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_bpe": bpe.op8_bpe,
@@ -15,4 +17,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_url_filters": url_cascade.OP2_SQL,
+    "op4_embedding_near_dup": cover_tree.OP4_SQL,
 }
