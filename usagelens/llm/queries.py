@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anisotropic, bpe, cover_tree, langid, near_dup, packing, suffix_dedup, token_counts, url_cascade
+from . import anisotropic, bpe, cover_tree, langid, near_dup, ngram_lm, packing, suffix_dedup, token_counts, url_cascade
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_minhash_near_dup": near_dup.op6_minhash_near_dup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_bpe": bpe.op8_bpe,
+    "op9_lm_scoring": ngram_lm.op9_lm_scoring,
     "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL = {

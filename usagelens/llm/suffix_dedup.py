@@ -398,7 +398,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     return materialize(windows.groupBy("d", "n").agg(ranges.alias("ranges")).select("d", "n", merged.alias("spans")), "spans")
 
 
-def _cutting(names: list[str]):
+def _cutting(names: list[str], as_text: bool):
     """The text without its spans, as bytes; the last two columns are spans and text."""
 
     def run(batches):
@@ -416,17 +416,18 @@ def _cutting(names: list[str]):
                 removed.append(len(raw) - len(out))
                 spans_n.append(len(spans or []))
                 sha.append(hashlib.sha256(out).hexdigest())
-            more = [pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_n, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())]
+            more = [pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_n, pa.int64()), pa.array(sha, pa.string()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*names, "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", as_text: bool = False) -> DataFrame:
     """docs without the text, with spans, n_bytes, n_removed, n_spans, kept_sha256 (lowercase hex) and kept (the bytes
     that are left, in order) added; columns of those names are replaced.
 
-    A null text counts as empty. kept may begin or end within a character. Repeated rows stay.
+    A null text counts as empty. kept may begin or end within a character; with as_text it is a string without the bytes of
+    characters cut through. Repeated rows stay.
     """
     new = ["spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     spans = repeated_spans(docs, length, text)
@@ -434,7 +435,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(text)).alias("_d"), F.octet_length(F.col(text)).alias("_n"), F.col(text).alias("_text"))
     both = rows.join(spans.select(F.col("d").alias("_d"), F.col("n").alias("_n"), "spans"), ["_d", "_n"], "left").select(*[f"`{c}`" for c in rest], "spans", F.col("_text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return both.mapInArrow(_cutting(rest), f"{kinds}, spans array<struct<start:int,stop:int>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary".lstrip(", "))
+    return both.mapInArrow(_cutting(rest, as_text), f"{kinds}, spans array<struct<start:int,stop:int>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}".lstrip(", "))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
