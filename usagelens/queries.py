@@ -676,3 +676,151 @@ def _(t):
     return C.nearest_first(n, ["g"], [F.desc("calls"), F.col("caller")], 3).select("caller", "calls")
 
 
+
+
+# --- smaller operators ---------------------------------------------------------------------------------------------------
+
+
+@query("f02_normalize_verb", "SELECT p_partkey, CASE WHEN trim(v) = '' OR v IS NULL THEN '*' ELSE upper(trim(v)) END AS verb FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' get ' WHEN 1 THEN '  ' WHEN 2 THEN '*' END AS v FROM part)")
+def _(t):
+    k = F.col("p_partkey") % 4
+    return t("part").select("p_partkey", T.normalize_verb(F.when(k == 0, " get ").when(k == 1, "  ").when(k == 2, "*")).alias("verb"))
+
+
+@query("f05_outcome_id", " SELECT DISTINCT class_id, coalesce('k:' || branch_key, 'i:' || branch_index) AS outcome FROM probe WHERE kind = 'BRANCH'", ("probe",))
+def _(t):
+    return t("probe").where("kind = 'BRANCH'").select("class_id", M.outcome_id().alias("outcome")).distinct()
+
+
+@query("f07_outcome_text", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'x == \"' || p_size || '\" was never true' WHEN 1 THEN 'x == \"' || p_size || '\" was never false' ELSE 'this case was never taken' END || CASE WHEN p_size % 2 = 0 THEN ', so lines ' || p_size || '-' || (p_size + 2) || ' never ran' ELSE '' END AS sentence FROM part")
+def _(t):
+    k, size = F.col("p_partkey") % 3, F.col("p_size")
+    condition = T.condition_text(F.array(F.struct(F.lit("CODE").alias("kind"), F.lit("x == ").alias("text")), F.struct(F.lit("LITERAL").alias("kind"), size.cast("string").alias("text"))))
+    lines = F.when(size % 2 == 0, T.line_ranges(F.array(F.struct(size.alias("first_line"), (size + 2).alias("last_line"))))).otherwise(F.lit(""))
+    return t("part").select("p_partkey", T.outcome_text(F.when(k == 0, "TRUE").when(k == 1, "FALSE").otherwise("CASE"), condition, lines).alias("sentence"))
+
+
+@query("f11_site_text", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand || '#run' ELSE p_brand END || CASE WHEN p_size % 3 = 0 THEN ' (never loaded)' ELSE '' END AS site, CASE WHEN p_size % 5 = 0 THEN 'annotated with @Get' ELSE 'overrides a method of Base' END AS reason FROM part")
+def _(t):
+    size = F.col("p_size")
+    reason = T.outside_reason(F.when(size % 5 == 0, "ANNOTATED").otherwise("OVERRIDES"), F.when(size % 5 == 0, "web.Get").otherwise("lib.Outer$Base"))
+    return t("part").select("p_partkey", T.site_text(F.col("p_brand"), F.when(size % 2 == 0, "run"), F.when(size % 3 == 0, "never loaded")).alias("site"), reason.alias("reason"))
+
+
+@query("f12_status_text", "SELECT DISTINCT lower(replace(status, '_', '-')) AS status FROM (SELECT CASE WHEN p_size > 9 THEN 'NEVER_HIT' ELSE 'Never_Loaded' END AS status FROM part)")
+def _(t):
+    return t("part").select(T.status_text(F.when(F.col("p_size") > 9, "NEVER_HIT").otherwise("Never_Loaded")).alias("status")).distinct()
+
+
+@query("f19_percent_change", "SELECT c_custkey, CASE WHEN b <> 0 THEN round((c_acctbal - b) / b * 100, 6) END AS change, CASE WHEN b > 0 THEN round(c_acctbal * 1000 / b, 6) END AS per_request FROM (SELECT *, (c_nationkey - 3)::DOUBLE AS b FROM customer)")
+def _(t):
+    base = (F.col("c_nationkey") - 3).cast("double")
+    return t("customer").select("c_custkey", F.round(B.percent_change(F.col("c_acctbal"), base), 6).alias("change"), F.round(B.per_request(F.col("c_acctbal"), base, 1000.0), 6).alias("per_request"))
+
+
+@query("f18_signed_percent", "SELECT p_partkey, printf('%+.1f%%', p_size - 25.0) AS change FROM part")
+def _(t):
+    return t("part").select("p_partkey", B.signed_percent(F.col("p_size") - F.lit(25.0)).alias("change"))
+
+
+@query("v02_trim", "SELECT p_partkey, p_brand AS name FROM part")
+def _(t):
+    return t("part").select("p_partkey", V.trimmed(F.concat(F.lit("   \t"), "p_brand", F.lit("　\n"))).alias("name"))
+
+
+@query("v08_reported", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0")
+def _(t):
+    o = F.col("o_orderkey")
+    return V.reported(t("orders").select("o_orderkey", F.when(o % 3 != 0, "r").alias("run_id"), (o % 5 == 0).alias("fields_stripped"), (o % 7 == 0).alias("test_run"))).select("o_orderkey")
+
+
+@query("v09_oversized", "SELECT p_partkey, length(p_name) > 9 OR p_size > 18 AS over FROM part")
+def _(t):
+    return t("part").select("p_partkey", V.oversized(F.col("p_name").cast("binary"), F.sequence(F.lit(1), F.col("p_size")), 10, 20).alias("over"))
+
+
+@query("a18_first_loaded", "SELECT s_nationkey, min(s_suppkey % 9) FILTER (s_suppkey % 9 > 0) AS first_loaded_at FROM supplier GROUP BY 1")
+def _(t):
+    at = F.col("s_suppkey") % 9
+    return t("supplier").groupBy("s_nationkey").agg(F.min(F.when(at > 0, at)).alias("first_loaded_at"))
+
+
+@query("a29_reason_sets", "SELECT p_brand AS class_name, list_sort(list(DISTINCT p_type)) AS reasons FROM part GROUP BY 1")
+def _(t):
+    return t("part").groupBy(F.col("p_brand").alias("class_name")).agg(F.array_sort(F.collect_set("p_type")).alias("reasons"))
+
+
+@query("a30_loaded_classes", "SELECT l_suppkey AS dependency_id, count(DISTINCT l_partkey) AS loaded FROM lineitem GROUP BY 1")
+def _(t):
+    return t("lineitem").groupBy(F.col("l_suppkey").alias("dependency_id")).agg(F.count_distinct("l_partkey").alias("loaded"))
+
+
+@query("a27_median_drift", f"WITH s AS (SELECT *, ntile(3) OVER (PARTITION BY user_id ORDER BY slice) AS third FROM ({SLICES})), h AS (SELECT user_id, avg(throughput) FILTER (third = 1) AS a, avg(throughput) FILTER (third = 3) AS b FROM s GROUP BY 1), d AS (SELECT user_id % 4 AS variant, CASE WHEN a <> 0 THEN (b - a) / a * 100 END AS drift FROM h) SELECT variant, round(median(drift), 6) AS drift, count(*) FILTER (drift IS NULL) AS missing FROM d GROUP BY 1")
+def _(t):
+    d = B.third_drift(t("events").select("user_id", F.col("event_id").alias("slice"), F.col("value").alias("throughput")), ["user_id"])
+    return d.groupBy((F.col("user_id") % 4).alias("variant")).agg(F.round(F.median("drift"), 6).alias("drift"), F.count_if(F.col("drift").isNull()).alias("missing"))
+
+
+@query("q36_run_end", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_custkey % 2 = 0 WHEN 'O' THEN o_custkey % 2 <> 0 ELSE o_custkey % 3 = 0 END AS holds FROM orders")
+def _(t):
+    how = F.when(F.col("o_orderstatus") == "F", "stop").when(F.col("o_orderstatus") == "O", "kill").otherwise("run")
+    x = t("orders").select("o_orderkey", how.alias("how"), (F.col("o_custkey") % 2 == 0).alias("ended"), (F.col("o_custkey") % 3 == 0).alias("live"))
+    return H.run_end(x).select("o_orderkey", "holds")
+
+
+@query("q37_memory_verdict", ", a AS (SELECT *, moment - min(moment) OVER (PARTITION BY instance) AS age FROM sample), r AS (SELECT instance, count(*) AS samples, regr_slope(rss, age) AS slope FROM a WHERE age >= 1800 GROUP BY 1) SELECT instance, CASE WHEN samples < 6 THEN 'TOO_FEW' WHEN slope > 0.1 / 86400 THEN 'GROWS' ELSE 'FLAT' END AS verdict FROM r", ("sample",))
+def _(t):
+    m = H.memory_trend(t("sample").withColumnRenamed("moment", "at"), ["instance"]).withColumns({"c": F.lit(-1.0), "m": F.lit(1.0)})
+    return H.memory_verdict(m, "c", "m").select("instance", "verdict")
+
+
+@query("q42_retries", "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 IN (1, 2)")
+def _(t):
+    k = F.col("o_orderkey") % 4
+    p = F.when(k == 1, F.array(F.lit("STEAL"))).when(k == 2, F.array(F.lit("NO_HEADROOM"), F.lit("DROPPED"))).when(k == 3, F.array(F.lit("STEAL"), F.lit("COLD"))).otherwise(F.array().cast("array<string>"))
+    return B.retries(t("orders").select("o_orderkey", p.alias("problems"))).select("o_orderkey")
+
+
+@query("u03_withheld_classes", "SELECT p_brand AS class_name FROM part WHERE p_size = 1 UNION SELECT p_brand FROM part WHERE p_size = 2 UNION SELECT p_brand FROM part WHERE p_size = 3")
+def _(t):
+    b = lambda n: t("part").where(F.col("p_size") == n).select(F.col("p_brand").alias("class_name"))
+    return b(1).union(b(2)).union(b(3)).distinct()
+
+
+@query("q26_call_edges", " SELECT caller, count(*) AS callees FROM call_edge GROUP BY 1", ("call_edge",))
+def _(t):
+    return t("call_edge").groupBy("caller").agg(F.count(F.lit(1)).alias("callees"))
+
+
+@query("q27_rejected_payloads", "SELECT o_orderkey, 'STRIPPED' AS reason FROM orders WHERE o_orderkey % 11 = 0")
+def _(t):
+    o = F.col("o_orderkey")
+    p = t("orders").select("o_orderkey", o.alias("instance_id"), o.alias("run_id"), F.lit("1").alias("agent_version"), (o % 11 == 0).alias("fields_stripped"), o.alias("arrival_seq"))
+    return V.rejections(p, "1").select("o_orderkey", "reason")
+
+
+@query("q14_folded_lambdas")
+def _(t):
+    m = C.checkpointing(_merged(t))  # read many times below
+    f = C.checkpointing(Q.class_findings(m))
+    methods = m.where("kind = 'METHOD' and method_name like 'm%'").select(*M.METHOD)
+    made = m.where("lambda_body and kind = 'METHOD'").select("class_name", F.col("class_name").alias("c_class"), F.col("method_name").alias("c_name"), F.col("method_descriptor").alias("c_desc"))
+    creates = methods.join(made, "class_name").where(F.substring_index("method_name", "_", -1) == "0").where(F.substring_index(F.expr("substring(method_name, 2)"), "_", 1) == F.expr("substring(c_name, 7)"))
+    return Q.folded_lambdas(m, creates, f, Q.covered_methods(m, f))
+
+
+@query("q22_unreached_clusters")
+def _(t):
+    from .operators import callgraph as K
+
+    m = C.checkpointing(_merged(t))  # read many times below
+    f = C.checkpointing(Q.class_findings(m))
+    node, through = C.checkpointing(K.nodes(m)), K.transparent(m)
+    owners = m.where("kind = 'METHOD'").select(*M.METHOD, K.method_key().alias("caller")).withColumn("n", F.expr("cast(substring(class_name, 6) as int)"))
+    # each class's methods call those of the same name in the next class
+    nexts = owners.select((F.col("n") - 1).alias("n"), F.col("class_name").alias("owner"), F.col("method_name").alias("name"), F.col("method_descriptor").alias("descriptor"))
+    edges = owners.join(nexts, "n").where(F.col("method_name") == F.col("name")).select(F.xxhash64("caller", "owner", "name", "descriptor").alias("edge"), "caller", "owner", "name", "descriptor", F.lit(True).alias("virtual"), F.lit(None).cast("string").alias("guard"))
+    none = t.spark.createDataFrame([], "child string, parent string")
+    calls = C.checkpointing(K.call_graph(C.checkpointing(edges), none, m.where("kind = 'METHOD'"), node, through))
+    sites = m.where("kind = 'BRANCH'").select(*M.METHOD, "outcome", F.lit(None).cast("string").alias("guard"))
+    return K.unreached_clusters(node, calls, K.outcome_nodes(m, node, sites), f, Q.covered_methods(m, f))
