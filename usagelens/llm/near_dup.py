@@ -24,8 +24,8 @@ HASHES = BANDS * ROWS
 #: Bits of an odd sketch, and the estimate below which a pair isn't verified: four standard deviations of
 #: HASHES MinHash values at 0.8, so one pair in 30,000 at the threshold is missed here.
 SKETCH, LEAST = 512, 0.8 - 4 * (0.8 * 0.2 / HASHES) ** 0.5
-#: Rows of a block in which sketches are compared.
-BLOCK = 1024
+#: Rows of each side of a block in which pairs are judged.
+BLOCK = 512
 _R = np.random.default_rng(1729)
 _XOR = _R.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _R.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -125,45 +125,100 @@ def _verifying(least: float):
     return run
 
 
-def _crossing(batches):
-    """Rows of one (bucket, i, j) come together: pairs of a left and a right row in different components whose
-    sketches allow the threshold."""
-
-    def pairs(rows):
-        left = rows["left"]
-        ids, comps, sk = rows["cid"], rows["component"], rows["sketch"]
-        li, ri = np.flatnonzero(left), np.flatnonzero(~left)
-        got = []
-        for a in range(0, len(ri), BLOCK):
-            r = ri[a : a + BLOCK]
-            close = (estimate(sk[li][:, None, :], sk[r][None, :, :]) >= LEAST) & (comps[li][:, None] != comps[r][None, :])
-            got += [(ids[li[x]], ids[r[y]]) for x, y in zip(*np.nonzero(close), strict=True)]
-        return [(min(p), max(p)) for p in got]
-
-    held: list = []
-    last = None
-
-    def flush():
-        rows = {
-            "left": np.array([h[0] for h in held]), "cid": [h[1] for h in held], "component": np.array([h[2] for h in held], dtype=object),
-            "sketch": np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1),
-        }
-        return pairs(rows)
-
-    names = ["a", "b"]
+def _blocks(batches):
+    """(key, rows) of whole blocks from batches whose first column, the key, comes sorted."""
+    last, held = None, []
     for batch in batches:
-        out: list = []
-        for key, left, cid, comp, sk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != last and held:
-                out += flush()
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[0] != last:
+                yield last, held
                 held = []
-            last = key
-            held.append((left, cid, comp, sk))
-        out = list(set(out))
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names)
+            last = row[0]
+            held.append(row)
     if held:
-        out = list(set(flush()))
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names)
+        yield last, held
+
+
+def _open_pairs(key: str, rows: list[tuple]):
+    """(left rows, right rows, which pairs are to be judged here): other components, sketches that allow the threshold, and no earlier
+    band in common, as that band's bucket has the pair too."""
+    bucket = np.int64(int(key.split(" ")[0]))
+    left, right = ([r for r in rows if r[1] == side] for side in (True, False))
+    if not left or not right:
+        return left, right, np.zeros((len(left), len(right)), bool)
+    sk = [np.frombuffer(b"".join(r[4] for r in side), np.uint64).reshape(len(side), -1) for side in (left, right)]
+    bands = [np.array([r[5] for r in side], np.int64) for side in (left, right)]
+    comps = [np.array([r[3] for r in side], dtype=object) for side in (left, right)]
+    out = np.zeros((len(left), len(right)), bool)
+    for a in range(0, len(left), 64):
+        same = bands[0][a : a + 64, None, :] == bands[1][None, :, :]
+        first = np.take_along_axis(np.broadcast_to(bands[1][None, :, :], same.shape), same.argmax(axis=2)[:, :, None], axis=2)[:, :, 0]
+        out[a : a + 64] = (first == bucket) & (estimate(sk[0][a : a + 64, None, :], sk[1][None, :, :]) >= LEAST) & (comps[0][a : a + 64, None] != comps[1][None, :])
+    return left, right, out
+
+
+def _meeting(batches):
+    """The rows of each bucket that have a pair to be judged: (bucket, left, cid)."""
+    for key, rows in _blocks(batches):
+        left, right, to_do = _open_pairs(key, rows)
+        out = [(True, left[i][2]) for i in np.flatnonzero(to_do.any(axis=1))] + [(False, right[j][2]) for j in np.flatnonzero(to_do.any(axis=0))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([int(key.split(" ")[0])] * len(out), pa.int64()), pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "left", "cid"])
+
+
+def _linking(least: float):
+    """Links found in each block, on full sets. What two components have joined isn't judged again: a block gives no more
+    links than it has rows."""
+    bound = round(100 * least)
+
+    def run(batches):
+        for key, rows in _blocks(batches):
+            left, right, to_do = _open_pairs(key, rows)
+            if not to_do.any():
+                continue
+            up: dict = {}
+
+            def root(c, up=up):
+                while c in up:
+                    c = up[c]
+                return c
+
+            sets = [np.frombuffer(r[6], np.uint64) for r in right]
+            flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+            starts = np.cumsum(sizes) - sizes
+            out = []
+            for i in np.flatnonzero(to_do.any(axis=1)):
+                x = np.frombuffer(left[i][6], np.uint64)
+                js = np.flatnonzero(to_do[i])
+                js = js[[root(left[i][3]) != root(right[j][3]) for j in js]]
+                if not len(js):
+                    continue
+                n = sizes[js]
+                at = np.repeat(starts[js] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                values = flat[at]
+                hit = x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+                for j in js[100 * both >= bound * (len(x) + n - both)]:
+                    p, q = root(left[i][3]), root(right[j][3])
+                    if p != q:
+                        up[p] = q
+                        out.append((left[i][2], right[j][2]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Each bucket's left rows against its right rows in blocks of BLOCK by BLOCK; rows: bucket, left, cid and more."""
+    sizes = rows.groupBy("bucket").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r"))
+    high, wide = (F.expr(f"greatest(1, cast(ceil({c} / {BLOCK}) as int))") for c in ("l", "r"))
+    own = F.pmod(F.xxhash64("cid"), F.when(F.col("left"), high).otherwise(wide)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("left"), wide).otherwise(high) - 1))
+    x = rows.join(sizes, "bucket").withColumns({"own": own}).select("*", other.alias("other"))
+    i, j = F.when(F.col("left"), F.col("own")).otherwise(F.col("other")), F.when(F.col("left"), F.col("other")).otherwise(F.col("own"))
+    x = x.withColumns({"i": i, "j": j, "key": F.concat_ws(" ", "bucket", i, j)})
+    return x.repartition(n, "key").sortWithinPartitions("key")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,21 +246,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, key: st
     links = _verify(docs, classes, tried, width, least, key, text)
     labels = components(links)
 
-    # what is left: buckets that hold several components
-    placed = members.select("bucket", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    # what is left: buckets that hold several components. The rows outside the largest one meet all others
+    placed = members.select("bucket", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-    parts = parts.groupBy("bucket").agg(F.max_by("component", "m").alias("main"), (F.sum("m") - F.max("m")).alias("others"), F.sum("m").alias("m")).where("others > 0")
-    # a bucket of two has one pair; where that was tried, it is done
-    open_ = placed.join(parts, "bucket").join(classes.select("cid", "sketch"), "cid")
-    wide, high = (F.expr(f"cast(ceil({n} / {BLOCK}) as int)") for n in ("m", "others"))
-    every = F.sequence(F.lit(0), wide - 1)
-    lefts = open_.where("component <> main").select("bucket", F.pmod(F.xxhash64("cid"), high).alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"), "cid", "component", "sketch")
-    rights = open_.select("bucket", F.explode(F.sequence(F.lit(0), high - 1)).alias("i"), F.pmod(F.xxhash64("cid", F.lit(3)), wide).alias("j"), F.lit(False).alias("left"), "cid", "component", "sketch")
-    blocks = lefts.select("bucket", F.col("i").cast("long"), F.col("j").cast("long"), "left", "cid", "component", "sketch").union(rights.select("bucket", F.col("i").cast("long"), F.col("j").cast("long"), "left", "cid", "component", "sketch"))
-    blocks = blocks.repartition(partitions(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    crossing = blocks.select(F.concat_ws(" ", "bucket", "i", "j").alias("key"), "left", "cid", "component", "sketch").mapInArrow(_crossing, "a binary, b binary")
-    more = materialize(crossing.distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
-    links = links.union(_verify(docs, classes, more, width, least, key, text))
+    parts = parts.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("main"), (F.sum("m") > F.max("m")).alias("open")).where("open").drop("open")
+    traits = classes.select("cid", "sketch", "bands")
+    open_ = placed.join(parts, "bucket")
+    sides = open_.where("component <> main").withColumn("left", F.lit(True)).unionByName(open_.withColumn("left", F.lit(False))).drop("main")
+    n = partitions(docs.sparkSession)
+    meeting = _dealt(sides.join(traits, "cid"), n).select("key", "left", "cid", "component", "sketch", "bands")
+    active = materialize(meeting.mapInArrow(_meeting, "bucket long, left boolean, cid binary").distinct(), "active")
+    sets = _fetch(docs, classes, active.select("cid"), width, key, text)
+    full = active.join(traits, "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    # sets travel only once the rows are dealt out
+    judged = _dealt(full.join(sets, "cid"), n).select("key", "left", "cid", "component", "sketch", "bands", "members")
+    links = links.union(materialize(judged.mapInArrow(_linking(least), "a binary, b binary"), "links"))
     labels = components(links)
 
     ids = classes.select("cid", "least_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -216,14 +271,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, key: st
     return out.select("doc_id", "digest", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: float, key: str, text: str) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the threshold. Only texts of classes in a pair are made sets again."""
-    used = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = classes.join(used, "cid").select("cid", F.coalesce(F.xxhash64("rep.doc_id", "rep.digest")).alias("at"))
+def _fetch(docs: DataFrame, classes: DataFrame, used: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """(cid, members) of the classes in used: only their texts are made sets again."""
+    wanted = classes.join(used.distinct(), "cid").select("cid", F.xxhash64("rep.doc_id", "rep.digest").alias("at"))
     rows = docs.select(F.xxhash64(F.col(key), F.xxhash64(F.col(text))).alias("at"), F.col(text).alias("text"))
     # each class's smallest (doc_id, digest) row; equal rows give equal sets
     found = rows.join(wanted.hint("shuffle_hash"), "at").select("cid", "text")
-    sets = materialize(found.mapInArrow(_sets(width), "cid binary, members binary").dropDuplicates(["cid"]), "sets")
+    return materialize(found.mapInArrow(_sets(width), "cid binary, members binary").dropDuplicates(["cid"]), "sets")
+
+
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: float, key: str, text: str) -> DataFrame:
+    """Those pairs (a, b) whose full sets reach the threshold."""
+    sets = _fetch(docs, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))), width, key, text)
     one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
     two = one.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
     return materialize(two.mapInArrow(_verifying(least), "a binary, b binary"), "links")
