@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, MEMO = 62, 800_000
+#: Steps in which a share of the rows is drawn: fine enough for 10^12 rows of a language.
+SHARES = 10**15
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
 
@@ -152,8 +154,8 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not sizes:
         return None
-    share = F.create_map(*[x for s in sizes for x in (F.lit(s[0]), F.lit(int(min(1.0, rows_per_language / s[1]) * 1_000_000)))])
-    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(29)), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[x for s in sizes for x in (F.lit(s[0]), F.lit(int(min(1.0, rows_per_language / s[1]) * SHARES)))])
+    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(29)), F.lit(SHARES)) < share[F.col("lang")])
     runs = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w.rlike(r"\p{L}"))
     step = F.greatest(F.lit(1), F.ceil(F.size("runs") / runs_per_row)).cast("int")
     some = drawn.select("lang", "key", runs.alias("runs")).where("size(runs) > 0")
