@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .base import local_path, materialize, mix, partitions, pieces, scratch, utf8, words
 from .elias_fano import EliasFano, open_arrays, write_arrays
 
-MU, BITS = 500.0, 4
+MU = 500.0
+#: Word shards: 2^LEAST_BITS at least, and as many as keep them at about SHARD words.
+LEAST_BITS, SHARD = 4, 1 << 20
 #: The hash that stands for the end of a text; tokens of one flush; bytes of one scoring piece.
 END, FLUSH, PIECE = np.uint64(0x5DEECE66D1A2B3C5), 3_000_000, 4 << 20
 U = np.uint64
@@ -74,14 +76,14 @@ def _by_shard(batches):
         yield last, held
 
 
-def _writing_words(folder: str):
+def _writing_words(folder: str, bits: int):
     def run(batches):
         for shard, parts in _by_shard(batches):
             h = np.concatenate([p.column(1).to_numpy() for p in parts]).view(U)
             n = np.concatenate([p.column(2).to_numpy() for p in parts])
             order = np.argsort(h)
             h, n = h[order], n[order]
-            ef = EliasFano.of(h & U((1 << (64 - BITS)) - 1), 1 << (64 - BITS))
+            ef = EliasFano.of(h & U((1 << (64 - bits)) - 1), 1 << (64 - bits))
             write_arrays(f"{folder}/words-{shard}.ef", ef.parts("hash") | {"count": n})
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "words", "tokens"])
 
@@ -97,6 +99,7 @@ class Model:
     total: int  # N
     distinct: int  # V
     texts: int
+    bits: int = LEAST_BITS
     shards: int = 0
     mu: float = MU
     _open: dict = field(default_factory=dict, repr=False)
@@ -112,7 +115,7 @@ class Model:
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of each hash; -1 and 0 if it wasn't in the training texts."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        top = (h >> U(64 - BITS)).astype(np.int64)
+        top = (h >> U(64 - self.bits)).astype(np.int64)
         for s in np.unique(top).tolist():
             if self.base[s + 1] == self.base[s]:
                 continue
@@ -120,7 +123,7 @@ class Model:
             if f"words-{s}/ef" not in self._open:
                 self._open[f"words-{s}/ef"] = EliasFano.read(arrays, "hash")
             ef, own = self._open[f"words-{s}/ef"], np.flatnonzero(top == s)
-            x = h[own] & U((1 << (64 - BITS)) - 1)
+            x = h[own] & U((1 << (64 - self.bits)) - 1)
             at = ef.successor(x)
             ok = np.flatnonzero(at < ef.n)
             ok = ok[ef.get(at[ok]) == x[ok]]
@@ -211,7 +214,7 @@ def _writing_pairs(model: Model):
             flat, n = flat[first], np.add.reduceat(n, first)
             one, two = (flat // U(model.distinct + 1)).astype(np.int64), (flat % U(model.distinct + 1)).astype(np.int64)
             if counts is None:
-                counts = [model.file(f"words-{s}")["count"] if model.base[s + 1] > model.base[s] else np.zeros(0, np.int64) for s in range(1 << BITS)]
+                counts = [model.file(f"words-{s}")["count"] if model.base[s + 1] > model.base[s] else np.zeros(0, np.int64) for s in range(1 << model.bits)]
             h = np.where(one == model.distinct, model.texts, _take(counts, model.base, np.minimum(one, model.distinct - 1)))
             logs = np.log10((n + model.mu * model.single(_take(counts, model.base, two))) / (h + model.mu))
             code, book = quantise(logs)
@@ -244,11 +247,13 @@ def train(docs: DataFrame, text: str = "text", mu: float = MU) -> Model:
     docs = docs.select(F.col(text).alias("text"))
     n = partitions(spark)
     counts = docs.mapInArrow(_counting, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    shard = F.shiftrightunsigned("hash", 64 - BITS).cast("int")
-    dealt = counts.select(shard.alias("shard"), "hash", "n").repartition(1 << BITS, "shard").sortWithinPartitions("shard")
-    sizes = {r.shard: r for r in materialize(dealt.mapInArrow(_writing_words(folder), "shard int, words long, tokens long"), "words").collect()}  # 16 rows
-    base = np.concatenate(([0], np.cumsum([sizes[s].words if s in sizes else 0 for s in range(1 << BITS)]))).tolist()
-    model = Model(folder, base, sum(r.tokens for r in sizes.values()), base[-1], 0, mu=mu)
+    counts = materialize(counts, "counts")
+    bits = max(LEAST_BITS, (counts.count() // SHARD).bit_length())
+    shard = F.shiftrightunsigned("hash", 64 - bits).cast("int")
+    dealt = counts.select(shard.alias("shard"), "hash", "n").repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    sizes = {r.shard: r for r in materialize(dealt.mapInArrow(_writing_words(folder, bits), "shard int, words long, tokens long"), "words").collect()}  # a row per shard
+    base = np.concatenate(([0], np.cumsum([sizes[s].words if s in sizes else 0 for s in range(1 << bits)]))).tolist()
+    model = Model(folder, base, sum(r.tokens for r in sizes.values()), base[-1], 0, bits, mu=mu)
     if not model.distinct:
         return model
     if model.distinct >= 1 << 31:
