@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -215,9 +216,15 @@ class Codec:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
+@lru_cache(2)
+def worker_codec(path: str) -> Codec:
+    """One for each worker process: later tasks find its vocabulary and its remembered words."""
+    return Codec(path)
+
+
 def _encoding(path: str, text: str, digests: bool):
     def run(batches):
-        codec = Codec(path)
+        codec = worker_codec(path)
         for batch in batches:
             col = batch.schema.get_field_index(text)
             got: list[tuple[int, str, str]] = []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .base import materialize, partitions
-from .token_counts import Counter
+from .token_counts import worker_counter
 
 #: Rows ranked in one group.
 GROUP = 20_000
@@ -50,10 +50,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 
 def _counting(path: str, text: str):
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = Counter(path)
+        counter = worker_counter(path)
         for batch in batches:
             col = batch.schema.get_field_index(text)
             out = []

@@ -7,6 +7,7 @@ digests without a stored count are encoded once each, and the new counts are app
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from functools import lru_cache
 
@@ -15,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import scratch
+from .bpe import byte_letters
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
-#: Pieces kept in a worker's memory with their counts: about 150 MB.
-MEMO = 800_000
+#: Space-led pieces, and pattern pieces, kept in a worker's memory with their counts: about 150 MB together.
+MEMO = 600_000
 # Letters, digits and blanks on which the splitting below and the library's pattern surely agree; a text with any
 # other character goes to the library whole.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -39,7 +41,7 @@ class Counter:
     """Token counts of whole texts, equal to ``len(tokenizer.encode(text, add_special_tokens=False).ids)``.
 
     Byte-level BPE merges nothing across the pieces of its split pattern, so the count of a text is the sum over
-    its space-led pieces; each distinct piece is encoded by the library once while it is remembered.
+    its space-led pieces; the library's model encodes each distinct pattern piece once while it is remembered.
     """
 
     def __init__(self, path: str):
@@ -56,6 +58,8 @@ class Counter:
         before = kind.get("pre_tokenizer") or {}
         self.by_piece = kind["model"]["type"] == "BPE" and kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not kind["model"].get("dropout")
         self.memo: dict[str, int] = {}
+        self.sizes: dict[str, int] = {}
+        self.letters = byte_letters()
 
     def encode(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -71,15 +75,17 @@ class Counter:
                 first, *rest = t.split(" ")
                 split.append((i, first, rest))
         fresh = {w for _, _, rest in split for w in rest} - self.memo.keys()
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo = {}
-            fresh = {w for _, _, rest in split for w in rest}
-        # pieces of a chunk repeat far more than chunks do
+        if len(self.memo) + len(fresh) > MEMO:  # what this batch needs stays
+            words = {w for _, _, rest in split for w in rest}
+            self.memo = {w: n for w in words if (n := self.memo.get(w)) is not None}
+        # pattern pieces repeat far more than space-led ones: a word comes with many endings
         parts = {w: _SPLIT.findall(" " + w) for w in fresh}
-        known = list({p for ps in parts.values() for p in ps})
-        sizes: dict[str, int] = {}
-        for a in range(0, len(known), 20_000):
-            sizes.update(zip(known[a : a + 20_000], self.encode(known[a : a + 20_000]), strict=True))
+        needed = {p for ps in parts.values() for p in ps}
+        if len(self.sizes) + len(needed) > MEMO:
+            self.sizes = {p: n for p in needed if (n := self.sizes.get(p)) is not None}
+        sizes = self.sizes
+        tokenize, letter = self.tok.model.tokenize, self.letters.__getitem__
+        sizes.update((p, len(tokenize("".join(map(letter, p.encode()))))) for p in needed - sizes.keys())
         memo = self.memo
         memo.update((w, sum(map(sizes.__getitem__, ps))) for w, ps in parts.items())
         get = memo.__getitem__
@@ -91,12 +97,16 @@ class Counter:
         return out
 
 
+@lru_cache(2)
+def worker_counter(path: str) -> Counter:
+    """One for each worker process: later tasks find its vocabulary and its remembered pieces."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Counter(path)
+
+
 def _counting(path: str):
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = Counter(path)
+        counter = worker_counter(path)
         for batch in batches:
             texts, out = batch.column("text"), []
             for a in range(0, len(texts), 512):
