@@ -21,6 +21,8 @@ from .graph import components
 from .vectors import common_size, matrix, usable
 
 BLOCK, MOST_CELLS, SURE = 4096, 1024, 1e-9
+#: The radius of the first level. Wider levels part nothing that links need, and their nodes would stay in reach of half of all others.
+TOP = 0.5
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -36,7 +38,7 @@ class CoverTree:
         self.x = x
         self.order = np.arange(len(x))
         self.nodes: list[list] = [[0, 0, len(x), 0.0, 0, 0]]
-        todo = [(0, 1.0)]
+        todo = [(0, TOP)]
         self.nodes[0][3] = self._radius(0, self.order)
         while todo:
             k, r = todo.pop()
