@@ -44,8 +44,8 @@ SILVER: dict[str, tuple[list[str], str]] = {
                l_orderkey * 10 + l_linenumber AS payload_sequence,
                cast(sum(CASE WHEN l_quantity > 44 AND p_size % 3 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey % 7, l_partkey ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS bigint) AS hits_total
         FROM lineitem JOIN part_probe ON l_partkey = p_partkey"""),
-    # parts of every fortieth order, each linked to the next larger one: callers are smaller than callees
-    "order_part": ([], """SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 40 = 0"""),
+    # parts of an order, each linked to the next larger one: callers are smaller than callees
+    "order_part": ([], """SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem"""),
     "call_edge": (["order_part"], """
         SELECT DISTINCT caller, callee FROM (SELECT p AS caller, lead(p) OVER (PARTITION BY o ORDER BY p) AS callee FROM order_part) e WHERE callee IS NOT NULL"""),
     "method_node": ([], """SELECT p_partkey AS node, p_size <= 10 AS hit FROM part"""),
