@@ -43,3 +43,68 @@ def test_every_order_makes_call_edges(spark, tmp_path):
     assert pairs(QUERIES["r04_clusters"](spark, folder)) == sorted(clusters.items())
     top = [x for g in range(10) for x in sorted((i for i in out_degree.items() if i[0] % 10 == g), key=lambda i: (-i[1], i[0]))[:3]]
     assert pairs(QUERIES["s16_top_callers"](spark, folder)) == sorted(top)
+
+
+def test_every_order_holds_references(spark, tmp_path):
+    supplier = [(i, i % 4, -100.0 if i % 2 else 5000.0) for i in range(1, 59)]
+    part = [(p, 1 + p % 50) for p in range(1, 121)]
+    r = random.Random(2)
+    lines = [(o, r.randint(1, 120), s) for o in range(1, 16) for s in range(1, 59)]  # no order key that 16 divides
+    folder = write(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_partkey long, l_suppkey long"), part=(part, "p_partkey long, p_size int"),
+                   supplier=(supplier, "s_suppkey long, s_nationkey int, s_acctbal double"))
+    size, nation = dict(part), {s: n for s, n, _ in supplier}
+
+    sites = {}
+    for _, p, s in lines:
+        if s % 29 == 0 and size[p] % 13:
+            sites.setdefault(f"ext.S{s}", set()).add(f"pkg.C{p % 200}" + (f"#m{p}" if p % 3 else ""))
+    assert sites
+    assert pairs(QUERIES["q25_absent_references"](spark, folder)) == sorted((c, len(x), min(x)) for c, x in sites.items())
+
+    # class_state holds a class in the instance of its one part; 120 parts make 120 classes
+    def loaded(p):
+        return p % 200 % 7 != 0
+
+    def failed_init(p):
+        return p % 200 % 31 == 0
+
+    key = {s: f"g{s % 15}:a{nation[s] % 3}" for s in nation}
+    live, failed, uninitialised, without = {}, {}, {}, {}
+    for _, p, s in lines:
+        if size[p] % 13 == 0 or nation[s] == 3 or s % 29 == 0:
+            continue
+        if p % 3:
+            was = size[p] <= 5
+        elif p % 2 == 0:
+            was = loaded(p) and p % 4 == nation[s]
+        else:
+            was = loaded(p)
+        now = was and not (failed_init(p) and p % 3 == 0)
+        k = key[s]
+        live[k] = live.get(k, False) or now
+        failed[k] = failed.get(k, False) or (p % 3 == 0 and p % 2 == 1 and p % 200 % 14 == 0)
+        uninitialised[k] = uninitialised.get(k, False) or (failed_init(p) and not now)
+        without[k] = without.get(k, False) or (not was and p % 3 != 0 and size[p] % 6 == 0)
+
+    def status(k):
+        of = [s for s in nation if key[s] == k]
+        total = max(0 if s % 3 == 0 else s % 8 for s in of)
+        if total == 0 and all(s % 11 and s % 4 == 0 for s in of):
+            return "RESOURCES_ONLY"
+        if total == 0 and any(s % 2 == 0 for s in of):
+            return "UNLOADED"
+        judged = [s for s in of if nation[s] != 3]
+        if not judged:
+            return "LOADED"
+        for holds, name in ((live, "USED"), (failed, "FAILED_TO_LOAD"), (uninitialised, "FAILED_TO_INITIALIZE"), (without, "WITHOUT_EVIDENCE")):
+            if holds.get(k):
+                return name
+        if any(nation[s] == 2 for s in judged):
+            return "NO_LIVE_REFERENCE"
+        return "UNREACHED" if k in live else "UNREFERENCED"
+
+    want = {k: status(k) for k in key.values()}
+    assert {r.identity_key: r.status for r in QUERIES["q23_dependency_status"](spark, folder).collect()} == want
+    histogram = {s: list(want.values()).count(s) for s in want.values()}
+    assert pairs(QUERIES["a17_status_histogram"](spark, folder)) == sorted(histogram.items())
+    assert pairs(QUERIES["q24_unloaded_dependencies"](spark, folder)) == sorted((k,) for k, s in want.items() if s == "UNLOADED")

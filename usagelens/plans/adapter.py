@@ -72,7 +72,7 @@ SILVER: dict[str, tuple[list[str], str]] = {
                CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'm' || cast(l_partkey AS string) END AS method_name,
                CASE WHEN l_partkey % 3 <> 0 THEN 'MANIFEST_METHOD' WHEN l_partkey % 2 = 0 THEN 'MANIFEST_CLASS' ELSE 'BASELINE' END AS origin,
                'ext.S' || cast(l_suppkey AS string) AS referenced_class, p_size % 13 = 0 AS inline, p_size <= 5 AS method_hit, p_size % 6 = 0 AS without_evidence
-        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 16 = 0"""),
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"""),
     "external_class": ([], """
         SELECT 'i-' || cast(s_nationkey % 4 AS string) AS instance_id, 'ext.S' || cast(s_suppkey AS string) AS class_name, s_suppkey AS dependency_id, s_suppkey % 29 = 0 AS absent FROM supplier"""),
     "class_state": ([], """
