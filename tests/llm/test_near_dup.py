@@ -1,10 +1,11 @@
+import math
 import random
 import re
 
 import numpy as np
 
 from usagelens.llm.graph import components
-from usagelens.llm.near_dup import estimate, near_duplicates, shingles, signature
+from usagelens.llm.near_dup import BANDS, HASHES, LEAST, ROWS, SKETCH, estimate, near_duplicates, shingles, signature
 
 
 def brute(rows, width, least=80):
@@ -77,3 +78,20 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(50, i) for i in range(51, 60)] + [(7, 7), (3, 90), (90, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[i] == 50 for i in range(50, 60)) and got[7] == 7 and got[90] == 3
+
+
+def test_the_sketch_loses_far_less_than_the_bands():
+    """The chance that a pair at 0.8 is estimated below LEAST: HASHES values differ with chance 0.2 each, and each that does flips two of SKETCH bits."""
+    i = np.arange(SKETCH + 1)
+    odd = np.zeros(SKETCH + 1)
+    odd[0] = 1
+    differ = np.zeros(SKETCH + 1)
+    for unlike in range(HASHES + 1):
+        differ += math.comb(HASHES, unlike) * 0.2**unlike * 0.8 ** (HASHES - unlike) * odd
+        for _ in range(2):
+            up, down = odd * (SKETCH - i) / SKETCH, odd * i / SKETCH
+            odd = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    bits = np.packbits(np.arange(SKETCH) < i[:, None], axis=1).view(np.uint64)
+    lost = differ[estimate(np.zeros_like(bits), bits) < LEAST].sum()
+    assert abs(differ.sum() - 1) < 1e-9
+    assert lost < 0.01 * (1 - 0.8**ROWS) ** BANDS

@@ -21,9 +21,9 @@ from .graph import components
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
-#: Bits of an odd sketch, and the estimate below which a pair isn't verified: four standard deviations of
-#: HASHES MinHash values at 0.8, so one pair in 30,000 at the threshold is missed here.
-SKETCH, LEAST = 512, 0.8 - 4 * (0.8 * 0.2 / HASHES) ** 0.5
+#: Bits of an odd sketch, and the estimate below which a pair isn't verified. With the noise of HASHES MinHash values and
+#: of folding them into SKETCH bits together, three pairs in 100 million at 0.8 fall below it.
+SKETCH, LEAST = 512, 0.55
 #: Rows of each side of a block in which pairs are judged.
 BLOCK = 512
 _R = np.random.default_rng(1729)
