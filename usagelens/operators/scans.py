@@ -1,4 +1,4 @@
-"""Static scans: completeness, latest, merged; never-loaded classes."""
+"""Static scans: completeness, latest, merged; never-loaded classes."""
 
 from __future__ import annotations
 
