@@ -3,7 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
+from usagelens.llm import near_dup
+from usagelens.llm.base import utf8, words
 from usagelens.llm.graph import components
 from usagelens.llm.near_dup import BANDS, HASHES, LEAST, ROWS, SKETCH, estimate, near_duplicates, shingles, signature
 
@@ -56,6 +59,25 @@ def test_components_against_brute_force(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_words_that_meet_under_polynomials_modulo_two_to_the_64():
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << 12))
+    two = one.translate(str.maketrans("ab", "ba"))
+    data, at = utf8(pa.array([one, two, one.upper(), f"{two} {one}"]))
+    hashes, first = words(data, at)
+    assert first.tolist() == [0, 1, 2, 3, 5]
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2] == hashes[4] and hashes[1] == hashes[3]
+
+
+def test_small_blocks_and_large_sets_give_the_same(spark, monkeypatch):
+    """Blocks of few rows or shingles only deal the work out otherwise; here each outsider meets each other row in a block of its own."""
+    docs = spark.createDataFrame([*corpus(), (5000, "v " * 200_000 + "long"), (5001, "LONG " + "v " * 200_000)], "doc_id long, text string")
+    want = brute([*corpus(), (5000, "v " * 2000 + "long"), (5001, "LONG " + "v " * 2000)], 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 2)
+    monkeypatch.setattr(near_dup, "HEAVY", 50)
+    got = near_duplicates(docs, width=2).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
 def test_long_words_and_documents():
     text = ("x" * 3_000_000 + " b " + "y z " * 700_000).encode()
     data = np.frombuffer(text + b"q r", np.uint8)

@@ -106,8 +106,25 @@ _LOWER[0x41:0x5B] += 32
 PIECE = 1 << 20
 
 
+def _placed(code: np.ndarray) -> np.ndarray:
+    """The random number of (place in a word) * 256 + byte."""
+    return mix(code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+
+
+_NEAR = _placed(np.arange(1 << 14))
+
+
+def _terms(part: np.ndarray, place: np.ndarray) -> np.ndarray:
+    code = place << 8 | part
+    out = _NEAR[np.minimum(code, len(_NEAR) - 1)]
+    far = np.flatnonzero(code >= len(_NEAR))
+    out[far] = _placed(code[far])
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each document, A-Z lower-cased.
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each document, A-Z lower-cased: sums of one random number for each byte at
+    each place, so no family of words meets in one hash as under a polynomial modulo 2^64.
 
     Returns (hash of each word, offset of each document's first word). Works through pieces of about a
     megabyte, cut at white space, so that temporary arrays stay small for texts of any length.
@@ -134,10 +151,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         stop = ~blank
         stop[:-1] &= blank[1:] | edge[a + 1 : b]
         e = np.flatnonzero(stop) + 1
-        up, down = powers(b - a + 1)
+        begin = np.zeros(b - a, np.int64)
+        begin[s] = s
+        place = np.arange(b - a) - np.maximum.accumulate(begin)
         prefix = np.zeros(b - a + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: b - a], out=prefix[1:])
-        out.append(mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        np.cumsum(_terms(part, place), out=prefix[1:])
+        out.append(mix(prefix[e] - prefix[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         begins.append(s + a)
         a = b
     hashes = np.concatenate(out) if out else np.zeros(0, np.uint64)

@@ -3,9 +3,10 @@
 1. Every text becomes a set of hashed word shingles; equal sets form one class, whose members need no comparing.
 2. A class has HASHES MinHash values: BANDS bands of ROWS of them give its buckets, and the parities of their hashed
    values fill an odd sketch, whose XOR population counts estimate the similarity of a pair within a few hundredths.
-3. Pairs are verified on full sets. First each class meets one other of a bucket (the one of smallest id that it shares most bands
-   with); what that links is contracted. Then only pairs of one bucket that lie in different components are left; their
-   sketches are compared in blocks, and those that may reach the threshold are verified.
+3. Sketches choose the pairs that full sets then verify. First each class meets one other: of the centres of its buckets (the
+   member whose buckets hold most classes) the one that it shares most bands with; what that links is contracted. Then only
+   pairs of one bucket that lie in different components are left; their sketches are compared in blocks. The rows outside a
+   bucket's largest component meet all its others, so a row is copied once for each block of such outsiders.
 A pair of similarity s shares no bucket with probability (1 - s^ROWS)^BANDS: 5e-5 at 0.8, less above.
 """
 
@@ -24,8 +25,8 @@ HASHES = BANDS * ROWS
 #: Bits of an odd sketch, and the estimate below which a pair isn't verified. With the noise of HASHES MinHash values and
 #: of folding them into SKETCH bits together, three pairs in 100 million at 0.8 fall below it.
 SKETCH, LEAST = 512, 0.55
-#: Rows of each side of a block in which pairs are judged.
-BLOCK = 512
+#: Rows of each side of a block in which pairs are judged, and shingles of those rows' sets.
+BLOCK, HEAVY = 512, 1 << 21
 _R = np.random.default_rng(1729)
 _XOR = _R.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _R.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -52,12 +53,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int):
             yield hashes[:0]
 
 
-def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of 128 bits as two words, band keys, odd sketches) of non-empty sets."""
+def identity(sets: list[np.ndarray]) -> np.ndarray:
+    """Ids of 128 bits, as two words, of non-empty sets."""
     flat = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))[:-1]
     sizes = np.array([len(s) for s in sets], np.uint64)
-    ident = np.stack([mix(np.add.reduceat(mix(flat ^ np.uint64(c)), starts) + sizes) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1)
+    return np.stack([mix(np.add.reduceat(mix(flat ^ np.uint64(c)), starts) + sizes) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], axis=1)
+
+
+def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, band keys, odd sketches) of non-empty sets."""
+    flat, ident = np.concatenate(sets), identity(sets)
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))[:-1]
     low = (flat >> np.uint64(32)).astype(np.uint32)
     least = np.stack([np.minimum.reduceat((low ^ x) * m, starts) for x, m in zip(_XOR, _MUL, strict=True)], axis=1)
     bands = np.zeros((len(sets), BANDS), np.uint64)
@@ -76,6 +83,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 + SKETCH / (4 * HASHES) * np.log1p(-2 * differ / SKETCH)
 
 
+#: Bits in which two sketches may differ without their estimate falling below LEAST.
+DIFFER = int(np.flatnonzero(1 + SKETCH / (4 * HASHES) * np.log1p(-2 * np.arange(SKETCH // 2) / SKETCH) >= LEAST)[-1])
+
+
 def _signing(width: int):
     def run(batches):
         for batch in batches:
@@ -90,10 +101,10 @@ def _signing(width: int):
                     cols[0].append(len(s))
                     cols[1].append(ident[k].tobytes() if len(s) else None)
                     cols[2].append(bands[k].view(np.int64) if len(s) else None)
-                    cols[3].append(sketches[k].tobytes() if len(s) else None)
+                    cols[3].append(sketches[k].view(np.int64) if len(s) else None)
                     k += bool(len(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int64()))],
                 ["doc_id", "digest", "n_shingles", "cid", "bands", "sketch"],
             )
 
@@ -101,13 +112,18 @@ def _signing(width: int):
 
 
 def _sets(width: int):
+    """The sets of (cid, text), of those texts whose set has that id: two rows that a key of 64 bits mixes up are told apart."""
+
     def run(batches):
         for batch in batches:
             data, at = utf8(batch.column(1))
-            out = []
+            cids, out, known = [], [], batch.column(0).to_pylist()
             for i, j in pieces(at, PIECE):
-                out += [s.tobytes() for s in shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["cid", "members"])
+                for cid, s in zip(known[i:j], shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width), strict=True):
+                    if len(s) and identity([s])[0].tobytes() == cid:
+                        cids.append(cid)
+                        out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(out, pa.binary())], ["cid", "members"])
 
     return run
 
@@ -139,31 +155,39 @@ def _blocks(batches):
         yield last, held
 
 
-def _open_pairs(key: str, rows: list[tuple]):
-    """(left rows, right rows, which pairs are to be judged here): other components, sketches that allow the threshold, and no earlier
-    band in common, as that band's bucket has the pair too."""
+def _open_pairs(key: str, rows: list[tuple], bound: int):
+    """(left rows, right rows, which pairs are to be judged here): other components, sketches and sizes that allow the threshold, and
+    no earlier band in common, as that band's bucket has the pair too."""
     bucket = np.int64(int(key.split(" ")[0]))
     left, right = ([r for r in rows if r[1] == side] for side in (True, False))
     if not left or not right:
         return left, right, np.zeros((len(left), len(right)), bool)
-    sk = [np.frombuffer(b"".join(r[4] for r in side), np.uint64).reshape(len(side), -1) for side in (left, right)]
+    sk = [np.array([r[4] for r in side], np.int64).view(np.uint64) for side in (left, right)]
+    n = [np.array([r[6] for r in side], np.int64) for side in (left, right)]
     bands = [np.array([r[5] for r in side], np.int64) for side in (left, right)]
     comps = [np.array([r[3] for r in side], dtype=object) for side in (left, right)]
     out = np.zeros((len(left), len(right)), bool)
     for a in range(0, len(left), 64):
         same = bands[0][a : a + 64, None, :] == bands[1][None, :, :]
         first = np.take_along_axis(np.broadcast_to(bands[1][None, :, :], same.shape), same.argmax(axis=2)[:, :, None], axis=2)[:, :, 0]
-        out[a : a + 64] = (first == bucket) & (estimate(sk[0][a : a + 64, None, :], sk[1][None, :, :]) >= LEAST) & (comps[0][a : a + 64, None] != comps[1][None, :])
+        may = np.bitwise_count(sk[0][a : a + 64, None, :] ^ sk[1][None, :, :]).sum(axis=-1, dtype=np.int64) <= DIFFER
+        may &= 100 * np.minimum(n[0][a : a + 64, None], n[1][None, :]) >= bound * np.maximum(n[0][a : a + 64, None], n[1][None, :])
+        out[a : a + 64] = (first == bucket) & may & (comps[0][a : a + 64, None] != comps[1][None, :])
     return left, right, out
 
 
-def _meeting(batches):
+def _meeting(least: float):
     """The rows of each bucket that have a pair to be judged: (bucket, left, cid)."""
-    for key, rows in _blocks(batches):
-        left, right, to_do = _open_pairs(key, rows)
-        out = [(True, left[i][2]) for i in np.flatnonzero(to_do.any(axis=1))] + [(False, right[j][2]) for j in np.flatnonzero(to_do.any(axis=0))]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([int(key.split(" ")[0])] * len(out), pa.int64()), pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "left", "cid"])
+    bound = round(100 * least)
+
+    def run(batches):
+        for key, rows in _blocks(batches):
+            left, right, to_do = _open_pairs(key, rows, bound)
+            out = [(True, left[i][2]) for i in np.flatnonzero(to_do.any(axis=1))] + [(False, right[j][2]) for j in np.flatnonzero(to_do.any(axis=0))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([int(key.split(" ")[0])] * len(out), pa.int64()), pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "left", "cid"])
+
+    return run
 
 
 def _linking(least: float):
@@ -173,7 +197,7 @@ def _linking(least: float):
 
     def run(batches):
         for key, rows in _blocks(batches):
-            left, right, to_do = _open_pairs(key, rows)
+            left, right, to_do = _open_pairs(key, rows, bound)
             if not to_do.any():
                 continue
             up: dict = {}
@@ -183,12 +207,12 @@ def _linking(least: float):
                     c = up[c]
                 return c
 
-            sets = [np.frombuffer(r[6], np.uint64) for r in right]
+            sets = [np.frombuffer(r[7], np.uint64) for r in right]
             flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
             starts = np.cumsum(sizes) - sizes
             out = []
             for i in np.flatnonzero(to_do.any(axis=1)):
-                x = np.frombuffer(left[i][6], np.uint64)
+                x = np.frombuffer(left[i][7], np.uint64)
                 js = np.flatnonzero(to_do[i])
                 js = js[[root(left[i][3]) != root(right[j][3]) for j in js]]
                 if not len(js):
@@ -209,10 +233,14 @@ def _linking(least: float):
     return run
 
 
-def _dealt(rows: DataFrame, n: int) -> DataFrame:
-    """Each bucket's left rows against its right rows in blocks of BLOCK by BLOCK; rows: bucket, left, cid and more."""
-    sizes = rows.groupBy("bucket").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r"))
-    high, wide = (F.expr(f"greatest(1, cast(ceil({c} / {BLOCK}) as int))") for c in ("l", "r"))
+def _dealt(rows: DataFrame, n: int, heavy: bool = False) -> DataFrame:
+    """Each bucket's left rows against its right rows in blocks of BLOCK by BLOCK (with heavy, of fewer where their sets are large);
+    rows: bucket, left, cid, size and more. rows are written, so that a bucket of many rows can be split in the join."""
+    rows = materialize(rows, "dealt")
+    sides = (F.col("left"), ~F.col("left"))
+    counts = [F.count_if(c).alias(k) for c, k in zip(sides, "lr", strict=True)] + [F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)).alias(k) for c, k in zip(sides, "uv", strict=True)]
+    sizes = materialize(rows.groupBy("bucket").agg(*counts), "sizes")
+    high, wide = (F.expr(f"cast(greatest(1, ceil({c} / {BLOCK}), {f'ceil({w} / {HEAVY})' if heavy else 1}) as int)") for c, w in (("l", "u"), ("r", "v")))
     own = F.pmod(F.xxhash64("cid"), F.when(F.col("left"), high).otherwise(wide)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("left"), wide).otherwise(high) - 1))
     x = rows.join(sizes, "bucket").withColumns({"own": own}).select("*", other.alias("other"))
@@ -231,18 +259,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, key: st
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = materialize(rows.mapInArrow(_signing(width), f"doc_id {kind}, digest long, n_shingles long, cid binary, bands array<long>, sketch binary"), "signed")
-    classes = signed.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    signed = materialize(rows.mapInArrow(_signing(width), f"doc_id {kind}, digest long, n_shingles long, cid binary, bands array<long>, sketch array<long>"), "signed")
+    classes = signed.where("cid is not null").groupBy("cid").agg(
+        F.min(F.struct("doc_id", "digest")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")
+    )
     classes = materialize(classes, "classes")
 
-    # buckets of two classes or more, each with its smallest class
+    # buckets of two classes or more, each with its centre: near copies that lie between the others share most with them
     banded = classes.select(F.explode("bands").alias("bucket"), "cid")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first")).where("n > 1")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(banded.join(shared, "bucket"), "buckets")
-    # one partner for each class: the first of a bucket that it shares most bands with
-    stars = members.where("cid <> first").groupBy("cid", "first").agg(F.count(F.lit(1)).alias("bands"))
+    weight = members.groupBy("cid").agg(F.sum("n").alias("weight"))
+    centre = members.join(weight, "cid").groupBy("bucket").agg(F.max(F.struct("weight", "cid"))["cid"].alias("first"))
+    # one partner for each class: the centre that it shares most bands with
+    stars = members.join(centre, "bucket").where("cid <> first").groupBy("cid", "first").agg(F.count(F.lit(1)).alias("bands"))
     stars = stars.groupBy("cid").agg(F.max_by("first", F.struct("bands", "first")).alias("first"))
-    tried = materialize(stars.select(F.least("cid", "first").alias("a"), F.greatest("cid", "first").alias("b")).distinct(), "tried")
+    stars = stars.select(F.least("cid", "first").alias("a"), F.greatest("cid", "first").alias("b")).distinct()
+    one, two = (classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    tried = materialize(stars.join(one, "a").join(two, "b").where(apart <= DIFFER).select("a", "b"), "tried")
     links = _verify(docs, classes, tried, width, least, key, text)
     labels = components(links)
 
@@ -250,16 +285,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, key: st
     placed = members.select("bucket", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
     parts = parts.groupBy("bucket").agg(F.max_by("component", F.struct("m", "component")).alias("main"), (F.sum("m") > F.max("m")).alias("open")).where("open").drop("open")
-    traits = classes.select("cid", "sketch", "bands")
+    traits = classes.select("cid", "sketch", "bands", "size")
     open_ = placed.join(parts, "bucket")
     sides = open_.where("component <> main").withColumn("left", F.lit(True)).unionByName(open_.withColumn("left", F.lit(False))).drop("main")
     n = partitions(docs.sparkSession)
-    meeting = _dealt(sides.join(traits, "cid"), n).select("key", "left", "cid", "component", "sketch", "bands")
-    active = materialize(meeting.mapInArrow(_meeting, "bucket long, left boolean, cid binary").distinct(), "active")
+    meeting = _dealt(sides.join(traits, "cid"), n).select("key", "left", "cid", "component", "sketch", "bands", "size")
+    active = materialize(meeting.mapInArrow(_meeting(least), "bucket long, left boolean, cid binary").distinct(), "active")
     sets = _fetch(docs, classes, active.select("cid"), width, key, text)
     full = active.join(traits, "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     # sets travel only once the rows are dealt out
-    judged = _dealt(full.join(sets, "cid"), n).select("key", "left", "cid", "component", "sketch", "bands", "members")
+    judged = _dealt(full.join(sets, "cid"), n, heavy=True).select("key", "left", "cid", "component", "sketch", "bands", "size", "members")
     links = links.union(materialize(judged.mapInArrow(_linking(least), "a binary, b binary"), "links"))
     labels = components(links)
 
