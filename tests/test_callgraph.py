@@ -1,5 +1,7 @@
 """Resolution and clusters on small programs."""
 
+from pyspark.sql import functions as F
+
 from usagelens.operators import callgraph as G
 
 MERGED = "class_name string, method_name string, method_descriptor string, kind string, parameter_index int, outcome string, hits long, line int, inline boolean, static boolean, generated_ord int, unread_ord int, routine_ord int"
@@ -14,7 +16,7 @@ def graph(spark, methods, calls, supers=()):
     merged = spark.createDataFrame(methods, MERGED)
     edges = spark.createDataFrame([(i, f"{a}#{m} ()V", o, n, "()V", v, g) for i, (a, m, o, n, v, g) in enumerate(calls)], EDGE)
     node, through = G.nodes(merged), G.transparent(merged)
-    st = spark.createDataFrame(list(supers), "child string, parent string")
+    st = spark.createDataFrame(list(supers), "child string, parent string").withColumn("ord", F.lit(0))
     return merged, node, G.call_graph(edges, st, merged.where("kind = 'METHOD'"), node, through)
 
 

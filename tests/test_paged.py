@@ -31,6 +31,16 @@ def test_pages_and_waits():
         list(read_all("http://x/a", server([(1, ROWS, 202)]), limit=3, pause=lambda s: None))
 
 
+def test_short_pages_and_totals():
+    def capped(url):
+        offset = int(parse_qs(urlparse(url).query)["offset"][0])
+        return 200, {"as_of": 1, "items": ROWS[offset : offset + 2], "total": len(ROWS)}
+
+    assert list(read_all("http://x/a", capped)) == ROWS
+    live = iter([(200, {"as_of": n, "items": [ROWS[n]], "total": 3, "from_snapshot": False}) for n in range(3)])
+    assert list(read_all("http://x/a", lambda url: next(live))) == ROWS[:3]
+
+
 def test_a_moved_snapshot_is_read_again():
     other = [{"k": i + 100} for i in range(4)]
     assert list(read_all("http://x/a?b=1", server([(1, ROWS, 200), (2, other, 200), (2, other, 200), (2, other, 200)]), limit=3)) == other

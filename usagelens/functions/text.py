@@ -2,53 +2,45 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _depths(text: str) -> list[int]:
-    """The number of braces open after each character; a closing brace without an opening one counts for nothing."""
-    return list(accumulate(text, lambda d, c: d + (c == "{") - (c == "}" and d > 0), initial=0))[1:]
+#: The forms of a route. A variable stands in balanced braces; a slash inside them, or after a brace that is never
+#: closed, doesn't part segments. A segment that is one of WILD as a whole takes any text.
+VARIABLE = r"(?P<variable>\{(?P<inside>(?:[^{}]++|\{(?:[^{}]++|(?&braces))*+\})*+)\})(?(DEFINE)(?P<braces>\{(?:[^{}]++|(?&braces))*+\}))"
+NAME = r"\s*+[^\s:,*.;?&#+/][^:,*]*+(?::.*)?"
+WILD = [r"\*\*?", r"<[^<>{]*[^<>{\s][^<>{]*>"]
+WILD_INSIDE = [r".*\.\.\.", r"\*.*", rf"\+{NAME}"]
+_VARIABLE = regex.compile(VARIABLE, regex.DOTALL)
+_PART = regex.compile(r"(?:(?&braces)|\{.*|[^/{])+(?(DEFINE)(?P<braces>\{(?:[^{}]++|(?&braces))*+\}))", regex.DOTALL)
+_WILD = regex.compile("|".join(f"(?:{w})" for w in WILD), regex.DOTALL)
+_WILD_INSIDE = regex.compile("|".join(f"(?:{w})" for w in WILD_INSIDE), regex.DOTALL)
+_OPTIONAL = regex.compile(rf"/{NAME}", regex.DOTALL)
 
 
-def _one_variable(text: str) -> bool:
-    name = text.split(":", 1)[0].strip()
-    return bool(name) and not set(name) & {",", "*"} and name[0] not in ".;?&#+/"
+def _variable(found) -> str:
+    """A variable without its rule; optional ones end in a question mark."""
+    inside = found["inside"].strip()
+    name, _, rule = inside.partition(":")
+    if _OPTIONAL.fullmatch(inside):
+        return "/{" + name[1:].strip() + "?}"
+    return "{" + name.strip() + ("?" if rule.strip() == "?" else "") + "}"
 
 
 def _segment(segment: str) -> str:
-    inner = segment[1:-1]
-    if segment in ("*", "**") or (len(segment) > 1 and segment[0] == "<" and segment[-1] == ">" and inner.strip() and not set(inner) & set("<>{")):
+    whole = _VARIABLE.fullmatch(segment)
+    if _WILD.fullmatch(segment) or (whole and _WILD_INSIDE.fullmatch(whole["inside"].strip())):
         return "*"
-    out, at = "", 0
-    while at < len(segment):
-        ends = (j for j in range(at, len(segment)) if segment[j] == "}" and segment[at : j + 1].count("{") == segment[at : j + 1].count("}"))
-        close = next(ends, None) if segment[at] == "{" else None
-        if close is None:
-            out, at = out + segment[at], at + 1
-            continue
-        inside = segment[at + 1 : close].strip()
-        name, colon, rule = inside.partition(":")
-        if (at, close) == (0, len(segment) - 1) and (inside.endswith("...") or inside.startswith("*") or (inside.startswith("+") and _one_variable(inside[1:]))):
-            return "*"
-        if inside.startswith("/") and _one_variable(inside[1:]):
-            out += "/{" + name[1:].strip() + "?}"
-        else:
-            out += "{" + name.strip() + ("?" if colon and rule.strip() == "?" else "") + "}"
-        at = close + 1
-    return out.lstrip("/")
+    return _VARIABLE.sub(_variable, segment).lstrip("/")
 
 
 def route(verbatim: str | None, context: str | None = None) -> str | None:
     """F1 for one route; null stays null."""
     if verbatim is None:
         return None
-    path = f"{context or ''}/{verbatim}"
-    cuts = [-1, *(i for i, (c, d) in enumerate(zip(path, _depths(path), strict=True)) if c == "/" and d == 0), len(path)]
-    parts = [path[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    parts = (m[0] for m in _PART.finditer(f"{context or ''}/{verbatim}"))
     return "/" + "/".join(_segment(p) for p in parts if p.strip())
 
 
@@ -63,9 +55,18 @@ def normalize_route(col: Column, context: Column | None = None) -> Column:
     return routes(col if context is None else F.concat(F.coalesce(context, F.lit("")), F.lit("/"), col))
 
 
+#: White space in any script, and the separators that count as such.
+SPACE = r"[\s\p{Z}\x1C-\x1F\x85]+"
+
+
+def stripped(col: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(col, f"^{SPACE}|{SPACE}$", "")
+
+
 def normalize_verb(col: Column) -> Column:
     """trimmed and upper-cased; ``*`` for a null, blank or ``*`` verb."""
-    return F.coalesce(F.nullif(F.upper(F.trim(col)), F.lit("")), F.lit("*"))
+    return F.coalesce(F.nullif(F.upper(stripped(col)), F.lit("")), F.lit("*"))
 
 
 def identity_key(identities: Column) -> Column:
@@ -114,32 +115,69 @@ def method_text(class_name: Column, method_name: Column, descriptor: Column) ->
     return F.when(method_name == "<init>", own).when(method_name == "<clinit>", F.concat(class_name, F.lit(" static initialiser"))).otherwise(F.concat(class_name, F.lit("#"), method_name))
 
 
+#: How a literal is escaped, in this order.
+ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+
+
 def condition_text(parts: Column) -> Column:
-    """F8: code as it is, literals quoted and escaped, ``…`` for what wasn't read."""
-    quoted = lambda t: F.concat(F.lit('"'), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return F.array_join(F.transform(parts, lambda p: F.when(p["kind"] == "LITERAL", quoted(p["text"])).when(p["kind"] == "CODE", p["text"]).otherwise(F.lit("…"))), "")
+    """F8: string literals quoted and escaped, ``…`` for a placeholder, any other part as it is."""
 
+    def quoted(text):
+        for plain, escaped in ESCAPES:
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        return F.concat(F.lit('"'), text, F.lit('"'))
 
-def line_ranges(ranges: Column) -> Column:
-    """``3, 5-8``."""
-    return F.array_join(F.transform(ranges, lambda r: F.when(r["first_line"] == r["last_line"], r["first_line"].cast("string")).otherwise(F.concat_ws("-", r["first_line"], r["last_line"]))), ", ")
+    return F.array_join(F.transform(parts, lambda p: F.when(p["kind"] == "STRING_LITERAL", quoted(p["text"])).when(p["kind"] == "PLACEHOLDER", F.lit("…")).otherwise(p["text"])), "")
 
 
-def outcome_text(role: Column, condition: Column, guarded: Column) -> Column:
-    """the sentence for an outcome that was never taken."""
-    what = F.when(role == "TRUE", F.concat(condition, F.lit(" was never true"))).when(role == "FALSE", F.concat(condition, F.lit(" was never false"))).when(role == "DEFAULT", F.lit("the default was never taken")).otherwise(F.lit("this case was never taken"))
-    return F.concat(what, F.when(guarded != "", F.concat(F.lit(", so lines "), guarded, F.lit(" never ran"))).otherwise(F.lit("")))
+def line_ranges(ranges: Column) -> Column:
+    """``line 3, Other.kt:5-8``: the file where one is given (source_file, first_line, last_line)."""
+
+    def shown(r):
+        lines = F.when(r["first_line"] == r["last_line"], r["first_line"].cast("string")).otherwise(F.concat_ws("-", r["first_line"], r["last_line"]))
+        return F.concat(F.when(F.coalesce(r["source_file"], F.lit("")) == "", F.lit("line ")).otherwise(F.concat(r["source_file"], F.lit(":"))), lines)
+
+    return F.array_join(F.transform(ranges, shown), ", ")
+
+
+def outcome_text(role: Column, condition: Column, line: Column, case_label: Column, case_key: Column, guarded: Column, partly: Column) -> Column:
+    """the sentence for an outcome that never ran, and what code it alone leads to.
+
+    condition and case_label: arrays of parts (kind, text), case_key an int, guarded and partly: arrays of line ranges; null counts as empty.
+    """
+    some = lambda a: F.coalesce(F.size(a) > 0, F.lit(False))
+    quoted = lambda a: F.concat(F.lit("`"), condition_text(a), F.lit("`"))
+    known = some(condition)
+    subject = F.when(known, quoted(condition)).otherwise(F.concat(F.lit("the branch at line "), line.cast("string")))
+    said = (
+        F.when(role == "FALL_THROUGH", F.concat(subject, F.when(known, " was never true").otherwise(" never fell through")))
+        .when(role == "TAKEN", F.concat(subject, F.when(known, " was never false").otherwise(" never jumped")))
+        .when((role == "CASE") & some(case_label), F.concat(subject, F.lit(" was never "), quoted(case_label)))
+        .when((role == "CASE") & case_key.isNotNull(), F.concat(subject, F.lit(" was never "), case_key.cast("string")))
+        .when(role == "CASE", F.concat(F.lit("a case of "), subject, F.lit(" never ran")))
+        .when(role == "DEFAULT", F.concat(subject, F.lit(" never reached its default")))
+        .otherwise(F.concat(subject, F.lit(" had an outcome that never ran")))
+    )
+    leads = (
+        F.when(some(guarded) & some(partly), F.concat(F.lit("only path to "), line_ranges(guarded), F.lit(", partly to "), line_ranges(partly)))
+        .when(some(guarded), F.concat(F.lit("only path to "), line_ranges(guarded)))
+        .when(some(partly), F.concat(F.lit("partly the path to "), line_ranges(partly)))
+        .otherwise(F.lit("guards no code of its own"))
+    )
+    return F.concat(said, F.lit(", "), leads)
 
 
 def outside_reason(kind: Column, type_name: Column) -> Column:
-    """F10."""
-    simple = F.substring_index(F.substring_index(type_name, ".", -1), "$", -1)
-    return F.when(kind == "OVERRIDES", F.concat(F.lit("overrides a method of "), simple)).when(kind == "ANNOTATED", F.concat(F.lit("annotated with @"), simple)).otherwise(F.lit("called from outside"))
+    """why code outside the scope may call a method: ``overrides X``, ``@X`` or the plain simple name."""
+    simple = F.substring_index(F.coalesce(type_name, F.lit("")), ".", -1)
+    return F.when(kind == "OVERRIDES_METHOD", F.concat(F.lit("overrides "), simple)).when(kind == "CALLBACK_ANNOTATION", F.concat(F.lit("@"), simple)).otherwise(simple)
 
 
-def site_text(class_name: Column, method_name: Column, marks: Column) -> Column:
-    """``Class#method (mark)``; sites sort by it."""
-    return F.concat(F.concat_ws("#", class_name, method_name), F.when(marks.isNotNull(), F.concat(F.lit(" ("), marks, F.lit(")"))).otherwise(F.lit("")))
+def site_text(class_name: Column, method_name: Column, never_loaded: Column, failed_to_load: Column | None = None, failed_to_initialize: Column | None = None) -> Column:
+    """``Class#method`` or ``Class (class level)``, with the first mark that holds; sites sort by it."""
+    where = F.when(method_name.isNull(), F.concat(class_name, F.lit(" (class level)"))).otherwise(F.concat(class_name, F.lit("#"), method_name))
+    marks = [(failed_to_load, " (failed to load)"), (failed_to_initialize, " (failed to initialise)"), (never_loaded, " (never loaded)")]
+    return F.concat(where, F.coalesce(*[F.when(c, F.lit(m)) for c, m in marks if c is not None], F.lit("")))
 
 
 def status_text(col: Column) -> Column:
@@ -166,21 +204,39 @@ def class_matches(pattern: str, col: Column) -> Column:
     return text | F.rlike(col, F.lit(f"^(?:{pattern})$"))
 
 
+#: Where a plain log line states its level, what the virtual machine's warnings begin with, and the time before a line.
+LEVEL = r"^(SEVERE|WARNING):|(?:^|[\s\[])(ERROR|WARN)(?:[\s\]])"
+MACHINE = r"(?i)^(?:OpenJDK|Java HotSpot).*warning:"
+STAMP = r"^(\d{4}-\d\d-\d\dT[\d:.]+Z) (.*)$"
+
+
+def _is_json(line: Column) -> Column:
+    return F.startswith(line, F.lit("{")) & (F.instr(line, '"level"') > 0) & F.get_json_object(line, "$").isNotNull()
+
+
+def log_text(line: Column) -> Column:
+    """the line without its time; a JSON line as it is."""
+    return F.when(~_is_json(line) & F.rlike(line, F.lit(STAMP)), F.regexp_extract(line, STAMP, 2)).otherwise(line)
+
+
 def log_level(line: Column) -> Column:
     """ERROR, WARN or null of a plain or JSON log line."""
-    is_json = F.startswith(line, F.lit("{")) & (F.instr(line, '"level"') > 0)
-    given = F.upper(F.get_json_object(line, "$.level"))
-    rest = F.regexp_replace(line, r"^\d{4}-\d\d-\d\dT[\d:.]+Z ", "")
-    plain = F.coalesce(F.nullif(F.regexp_extract(rest, r"^(SEVERE|WARNING):", 1), F.lit("")), F.nullif(F.regexp_extract(rest, r"(?:^|[\s\[])(ERROR|WARN)(?:[\s\]])", 1), F.lit("")), F.when(F.rlike(rest, F.lit(r"(?i)^(?:OpenJDK|Java HotSpot).*warning:")), F.lit("WARN")))
-    found = F.when(is_json, given).otherwise(plain)
-    level = F.when(found == "SEVERE", "ERROR").when(found == "WARNING", "WARN").otherwise(found)
+    rest = log_text(line)
+    stated = F.when(F.rlike(rest, F.lit(LEVEL)), F.concat(F.regexp_extract(rest, LEVEL, 1), F.regexp_extract(rest, LEVEL, 2)))
+    found = F.when(_is_json(line), F.upper(F.get_json_object(line, "$.level"))).otherwise(F.coalesce(stated, F.when(F.rlike(rest, F.lit(MACHINE)), F.lit("WARN"))))
+    level = F.when(found == "SEVERE", F.when(_is_json(line), found).otherwise("ERROR")).when(found == "WARNING", "WARN").otherwise(found)
     return F.when(level.isin("WARN", "ERROR"), level)
 
 
+def log_is_agent(line: Column, marks: str) -> Column:
+    """whether the collecting agent or the virtual machine wrote a plain line. marks: the expression of the agent's own prefixes."""
+    rest = log_text(line)
+    return F.coalesce(~_is_json(line) & (F.rlike(rest, F.lit(f"(?i){marks}")) | F.rlike(rest, F.lit(MACHINE))), F.lit(False))
+
+
 def log_time(line: Column) -> Column:
     """the time at the start of a plain line, or the field time of a JSON one."""
-    is_json = F.startswith(line, F.lit("{")) & (F.instr(line, '"level"') > 0)
-    at = F.when(is_json, F.get_json_object(line, "$.time")).otherwise(F.nullif(F.regexp_extract(line, r"^(\d{4}-\d\d-\d\dT[\d:.]+Z) ", 1), F.lit("")))
+    at = F.when(_is_json(line), F.get_json_object(line, "$.time")).when(F.rlike(line, F.lit(STAMP)), F.regexp_extract(line, STAMP, 1))
     return F.try_to_timestamp(at)
 
 
@@ -189,11 +245,22 @@ def violation_key(col: Column) -> Column:
     return F.regexp_replace(col, r"\(\d+ [^)]*\)", "(N)")
 
 
+#: An ISO 8601 duration of weeks to seconds, and the seconds of each unit.
+DURATION = r"^P(?=.)(?:(\d+(?:\.\d+)?)W)?(?:(\d+(?:\.\d+)?)D)?(?:T(?=.)(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+UNITS = [604_800, 86_400, 3600, 60, 1]
+
+
+def try_iso_seconds(col: Column) -> Column:
+    """seconds of an ISO 8601 duration, white space around it aside; null for null and for anything else."""
+    text = stripped(col)
+    part = lambda k, by: F.coalesce(F.regexp_extract(text, DURATION, k).try_cast("double"), F.lit(0.0)) * by
+    return F.when(F.rlike(text, F.lit(DURATION)), sum((part(k, by) for k, by in enumerate(UNITS, 1)), F.lit(0.0)))
+
+
 def iso_seconds(col: Column) -> Column:
-    """seconds of an ISO 8601 duration; null for null and for anything else."""
-    form = r"^P(?=.)(?:(\d+(?:\.\d+)?)W)?(?:(\d+(?:\.\d+)?)D)?(?:T(?=.)(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
-    part = lambda k, by: F.coalesce(F.regexp_extract(col, form, k).try_cast("double"), F.lit(0.0)) * by
-    return F.when(F.rlike(F.trim(col), F.lit(form)), part(1, 604_800) + part(2, 86_400) + part(3, 3600) + part(4, 60) + part(5, 1))
+    """as try_iso_seconds, but text that is no duration fails the job."""
+    seconds = try_iso_seconds(col)
+    return F.when(col.isNotNull() & seconds.isNull(), F.raise_error(F.concat(F.lit("not an ISO 8601 duration: "), col)).cast("double")).otherwise(seconds)
 
 
 def home_folder(col: Column) -> Column:

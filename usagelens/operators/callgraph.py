@@ -49,7 +49,7 @@ def resolved(edges: DataFrame, cands: DataFrame, node_keys: DataFrame, through:
     inner = cands.join(through.select("key"), "key", "left_semi").select("edge", F.col("key").alias("t")).distinct()
     own = edges.join(through.select(F.col("key").alias("caller")), "caller", "left_semi").select(F.col("caller").alias("t"), "edge")
     steps = own.join(inner.withColumnRenamed("t", "next"), "edge").select(F.col("t").alias("a"), F.col("next").alias("b"))
-    far = C.reach(steps).select(F.col("a").alias("t"), F.col("b").alias("to"))
+    far = C.reach(steps, start=inner.select(F.col("t").alias("a"))).select(F.col("a").alias("t"), F.col("b").alias("to"))
     passed = inner.unionByName(inner.join(far, "t").select("edge", F.col("to").alias("t"))).distinct()
     behind = passed.join(own.withColumnRenamed("edge", "inner"), "t").select("edge", "inner").join(cands.withColumnRenamed("edge", "inner"), "inner").select("edge", "class_name", "key")
     all_ = cands.select("edge", "class_name", "key").unionByName(behind).distinct()
@@ -57,26 +57,60 @@ def resolved(edges: DataFrame, cands: DataFrame, node_keys: DataFrame, through:
     return all_.select("edge", "key").union(init).distinct().join(node_keys.select("key").distinct(), "key", "left_semi").select("edge", F.col("key").alias("callee"))
 
 
-def call_graph(edges: DataFrame, supertypes: DataFrame, declares: DataFrame, node: DataFrame, through: DataFrame, unjudged: DataFrame | None = None) -> DataFrame:
-    """(caller, callee, guard, role) without loops. role: NODE, GENERATED (transparent callers that ran or can't be judged) or
-    UNKNOWN (declared callers without a probe, given in unjudged as key)."""
+def call_graph(edges: DataFrame, supertypes: DataFrame, declares: DataFrame, node: DataFrame, through: DataFrame, unjudged: DataFrame | None = None, withheld: DataFrame | None = None) -> DataFrame:
+    """(caller, callee, guard, role) without loops. role: NODE, GENERATED (transparent callers that ran) or UNKNOWN: declared callers
+    without a probe (unjudged: key), and transparent callers without a hit in classes that can't be judged (withheld: class_name)."""
     cands = C.checkpointing(candidates(edges, supertypes, declares))
     calls = edges.select("edge", "caller", "guard").join(resolved(edges, cands, node, through), "edge").where("caller <> callee")
     roles = node.select(F.col("key").alias("caller"), F.lit("NODE").alias("role")).union(through.where("hits > 0").select("key", F.lit("GENERATED")))
+    if withheld is not None:
+        roles = roles.union(through.where("hits <= 0").join(withheld.select("class_name").distinct(), "class_name", "left_semi").select("key", F.lit("UNKNOWN")))
     if unjudged is not None:
         roles = roles.union(unjudged.join(node.select("key"), "key", "left_anti").join(through.select("key"), "key", "left_anti").select("key", F.lit("UNKNOWN")))
     calls = calls.join(roles.distinct(), "caller")
     return calls.select("caller", "callee", F.when(F.col("role") == "NODE", F.col("guard")).alias("guard"), "role").distinct()
 
 
-def outcome_nodes(merged: DataFrame, node: DataFrame, sites: DataFrame) -> DataFrame:
-    """(node, key, outcome, guard) of ordinary outcomes without a hit in methods that ran. sites: METHOD columns, outcome, guard."""
+def unknown_callers(declared: DataFrame, known: DataFrame) -> DataFrame:
+    """(key) of declared methods (METHOD columns, inline) of classes that manifests know (class_name); call_graph leaves out those with a node
+    or looked through. They block roots and are none themselves."""
+    return declared.where("not inline").join(known.select("class_name").distinct(), "class_name", "left_semi").select(method_key().alias("key")).distinct()
+
+
+def declared_guards(declared: DataFrame, sites: DataFrame, ids: DataFrame) -> DataFrame:
+    """(key, d_instance, guard_index, guard): the outcome that a baseline's guard index means, where its own instance has no outcome of it.
+
+    declared: a row per outcome of the baseline's sites: key, instance_id, site_key, branch_index, case (role, case key and label as one
+    text), blind (a label with a placeholder or a redacted text). sites: the same of manifests, with rank, class_id and probe_index. ids: key, instance_id, branch_index, outcome.
+    The case must be one of its kind in the declared site and in the manifest's site of that key, and the outcome must be keyed; the
+    newest manifest copy wins.
+    """
+    own = ids.select("key", "instance_id", "branch_index")
+    open_ = declared.where("site_key is not null").groupBy("key", "instance_id", "site_key", "case").agg(F.count(F.lit(1)).alias("n"), F.min("branch_index").alias("branch_index"), F.bool_or("blind").alias("blind")).where("n = 1 and not blind")
+    open_ = open_.join(own, ["key", "instance_id", "branch_index"], "left_anti")
+    there = sites.groupBy("key", "instance_id", "class_id", "probe_index", "rank", "site_key", "site_index", "case").agg(F.count(F.lit(1)).alias("n"), F.min("branch_index").alias("m_index")).where("n = 1")
+    there = there.join(ids.where("outcome like 'k:%'").select("key", "instance_id", F.col("branch_index").alias("m_index"), "outcome"), ["key", "instance_id", "m_index"])
+    age = F.struct((-F.col("rank")).alias("r"), "m_instance", "class_id", "probe_index", "site_index")
+    both = open_.select("key", F.col("instance_id").alias("d_instance"), "site_key", "case", F.col("branch_index").alias("guard_index")).join(there.withColumnRenamed("instance_id", "m_instance"), ["key", "site_key", "case"])
+    return both.groupBy("key", "d_instance", "guard_index").agg(F.min_by("outcome", age).alias("guard"))
+
+
+def outcome_nodes(merged: DataFrame, node: DataFrame, sites: DataFrame, withheld: DataFrame | None = None) -> DataFrame:
+    """(node, key, outcome, guard) of ordinary outcomes without a hit in methods that ran, in no withheld class. sites: METHOD columns, outcome, guard."""
+    merged = merged if withheld is None else merged.join(withheld.select("class_name").distinct(), "class_name", "left_anti")
     cold = merged.where((F.col("kind") == "BRANCH") & (F.col("hits") <= 0) & ~F.col("inline") & ~looked_through() & (F.col("routine_ord") == 0)).withColumn("key", method_key())
     cold = cold.join(node.where("hits > 0").select("key"), "key", "left_semi").join(sites.select(*METHOD, "outcome", "guard").distinct(), [*METHOD, "outcome"], "left")
     return cold.select(F.concat(F.lit("O"), "key", F.lit("|"), "outcome").alias("node"), "key", "outcome", "guard")
 
 
-def cluster_edges(calls: DataFrame, outcomes: DataFrame, covered: DataFrame) -> DataFrame:
+def possibly_run(merged: DataFrame, node: DataFrame, withheld: DataFrame) -> DataFrame:
+    """(node) of outcomes as in outcome_nodes, but of withheld classes: they may have run, so what they guard has a caller that never joins."""
+    own = merged.join(withheld.select("class_name").distinct(), "class_name", "left_semi")
+    none = merged.select(*METHOD, "outcome").limit(0).withColumn("guard", F.lit(None).cast("string"))
+    return outcome_nodes(own, node, none).select("node")
+
+
+def cluster_edges(calls: DataFrame, outcomes: DataFrame, covered: DataFrame, possible: DataFrame | None = None) -> DataFrame:
     """(caller, callee) among cluster nodes. A guard outcome calls in its method's place, a class node in that of the methods it covers
     (covered: METHOD columns); an outcome hangs off its guard outcome, or else off its method."""
     stands = covered.select(method_key().alias("key"), F.concat(F.lit("C"), "class_name").alias("class_node"))
@@ -85,31 +119,42 @@ def cluster_edges(calls: DataFrame, outcomes: DataFrame, covered: DataFrame) ->
         return df.join(stands.select(F.col("key").alias(col), F.col("class_node").alias("_c")), col, "left").withColumn(name, F.coalesce("_c", F.concat(F.lit("M"), col))).drop("_c")
 
     x = node_of(node_of(calls, "caller", "from"), "callee", "to").withColumn("g", F.concat(F.lit("O"), "caller", F.lit("|"), "guard"))
-    x = x.join(outcomes.select(F.col("node").alias("g"), F.lit(True).alias("is")), "g", "left")
+    known = outcomes.select("node") if possible is None else outcomes.select("node").union(possible.select("node"))
+    x = x.join(known.select(F.col("node").alias("g"), F.lit(True).alias("is")).distinct(), "g", "left")
     links = x.select(F.when(F.col("is"), F.col("g")).otherwise(F.col("from")).alias("caller"), F.col("to").alias("callee"))
     o = outcomes.select("node", "key", F.concat(F.lit("O"), "key", F.lit("|"), "guard").alias("g")).join(outcomes.select(F.col("node").alias("g"), F.lit(True).alias("is")), "g", "left")
     hang = o.select(F.when(F.col("is") & (F.col("g") != F.col("node")), F.col("g")).otherwise(F.concat(F.lit("M"), "key")).alias("caller"), F.col("node").alias("callee"))
     return links.union(hang).where("caller <> callee").distinct()
 
 
-def unreached_clusters(node: DataFrame, calls: DataFrame, outcomes: DataFrame, findings: DataFrame, covered: DataFrame, outside: DataFrame | None = None) -> DataFrame:
+def unreached_clusters(
+    node: DataFrame, calls: DataFrame, outcomes: DataFrame, findings: DataFrame, covered: DataFrame, outside: DataFrame | None = None, withheld: DataFrame | None = None, failed: DataFrame | None = None,
+    possible: DataFrame | None = None,
+) -> DataFrame:
     """Q22: (root, kind, member) with the members as listed: a class node's methods in its place, no initialisers, no constructors that
     can't be judged. Roots of classes and outcomes that list nothing more are left out (G14). outside(key): known callers outside the scope.
+    withheld (class_name): classes whose methods are no members, as they can't be judged. failed (class_name): classes that failed to
+    initialise; a hit in one of their own nodes makes no root. possible: of possibly_run.
     """
-    links = C.checkpointing(cluster_edges(calls, outcomes, covered))
+    links = C.checkpointing(cluster_edges(calls, outcomes, covered, possible))
     cov = covered.select(method_key().alias("key"), "class_name")
     built = findings.where("constructed").select("class_name", F.lit(True).alias("built"))
     n = node.join(cov.select("key", F.lit(True).alias("covered")).distinct(), "key", "left").join(built, "class_name", "left")
     unjudged = (F.col("method_name") == INIT) & ~F.col("never_loaded") & F.col("built").isNull()
     n = n.select("key", "class_name", "method_name", "hits", F.col("covered").isNotNull().alias("covered"), unjudged.alias("unjudged"))
     classes = cov.select(F.concat(F.lit("C"), "class_name").alias("node")).distinct()
-    cold = n.where("hits = 0 and not covered").select(F.concat(F.lit("M"), "key").alias("node"), ((F.col("method_name") != CLINIT) & ~F.col("unjudged")).alias("may_root"))
+    own = n if withheld is None else n.join(withheld.select("class_name").distinct(), "class_name", "left_anti")
+    cold = own.where("hits = 0 and not covered").select(F.concat(F.lit("M"), "key").alias("node"), ((F.col("method_name") != CLINIT) & ~F.col("unjudged")).alias("may_root"))
     cold = cold.union(outcomes.select("node", F.lit(True))).union(classes.select("node", F.lit(True)))
     hot = n.where("hits > 0").select(F.concat(F.lit("M"), "key").alias("node")).union(calls.where("role = 'GENERATED'").select(F.concat(F.lit("M"), "caller"))).distinct()
     other = links.select(F.col("caller").alias("node")).union(links.select("callee")).distinct().join(cold, "node", "left_anti").join(hot, "node", "left_anti")
     every = cold.select("node", F.lit(False).alias("hit"), "may_root").union(hot.select("node", F.lit(True), F.lit(False))).union(other.select("node", F.lit(False), F.lit(False)))
     every = C.checkpointing(every.distinct())
-    per = links.join(every.select(F.col("node").alias("caller"), F.col("hit").alias("caller_hit")), "caller").groupBy(F.col("callee").alias("node")).agg(F.bool_or("caller_hit").alias("from_hit"))
+    counts = every.select(F.col("node").alias("caller"), F.col("hit").alias("caller_hit"))
+    if failed is not None:
+        dead = node.join(failed.select("class_name").distinct(), "class_name", "left_semi").select(F.concat(F.lit("M"), "key").alias("caller"), F.lit(True).alias("dead"))
+        counts = counts.join(dead, "caller", "left").select("caller", (F.col("caller_hit") & F.col("dead").isNull()).alias("caller_hit"))
+    per = links.join(counts, "caller").groupBy(F.col("callee").alias("node")).agg(F.bool_or("caller_hit").alias("from_hit"))
     starts = every.where("may_root").join(per, "node", "left").where("from_hit is null or from_hit")
     seen = outside.select(F.concat(F.lit("M"), "key").alias("node"), F.lit(True).alias("out")).distinct() if outside is not None else None
     starts = starts.join(seen, "node", "left") if seen is not None else starts.withColumn("out", F.lit(None).cast("boolean"))
@@ -133,3 +178,18 @@ def whole_classes(clusters: DataFrame, node: DataFrame) -> DataFrame:
     size = node.where(F.col("method_name") != CLINIT).groupBy("class_name").agg(F.count(F.lit(1)).alias("size"))
     per = clusters.withColumn("class_name", F.substring_index("member", "#", 1)).groupBy("root", "class_name").agg(F.count(F.lit(1)).alias("n"))
     return per.join(size, "class_name").where("n = size").select("root", "class_name")
+
+
+def in_cluster_order(clusters: DataFrame) -> DataFrame:
+    """O2: (root, kind, members) by size, the largest first, then by root."""
+    return clusters.groupBy("root", "kind").agg(F.count("member").alias("members")).orderBy(F.desc("members"), "root")
+
+
+def call_edges(edges: DataFrame, class_name: str | None = None, method_name: str | None = None) -> DataFrame:
+    """Q26: the distinct callees (owner, name, descriptor) of a method's edges over manifests and baselines, sorted; without names those of every
+    caller. edges: METHOD columns of the caller, owner, name, descriptor."""
+    x = edges
+    if class_name is not None:
+        x = x.where((F.col("class_name") == class_name) & (F.col("method_name") == method_name))
+    keys = [] if class_name is not None else ["class_name", "method_name"]
+    return x.select(*keys, "owner", "name", "descriptor").distinct().orderBy(*keys, "owner", "name", "descriptor")

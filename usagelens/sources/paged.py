@@ -26,8 +26,10 @@ def http(url: str, timeout: float = 30.0) -> tuple[int, dict]:
 def read_all(url: str, fetch: Callable[[str], tuple[int, dict]] = http, limit: int = LIMIT, tries: int = 5, pause: Callable[[float], None] = time.sleep) -> Iterator[dict]:
     """The items of all pages of one snapshot, in order.
 
-    A page holds ``items`` and ``as_of``. Status 202 (not ready) is asked again, up to tries times. If as_of changes
-    between two pages, reading starts over, up to tries times; nothing is given before the snapshot is whole.
+    A page holds ``items`` and ``as_of``, and may hold ``total`` and ``from_snapshot``. Pages are read until as many items as total have come, or
+    without a total until a page is empty; a server may give shorter pages than asked for. Status 202 (not ready) is asked again, up to tries times. If
+    as_of changes between two pages, reading starts over, up to tries times, unless the page says that it isn't from a snapshot; nothing is
+    given before the snapshot is whole.
     """
     join = "&" if "?" in url else "?"
     for _ in range(tries):
@@ -41,11 +43,11 @@ def read_all(url: str, fetch: Callable[[str], tuple[int, dict]] = http, limit: i
                 pause(0.5 * 2**again)
             else:
                 raise TimeoutError(f"{url} isn't ready")
-            if as_of is not None and page["as_of"] != as_of:
+            if as_of is not None and page.get("as_of") != as_of and page.get("from_snapshot", True):
                 break
-            as_of = page["as_of"]
+            as_of = page.get("as_of")
             rows += page["items"]
-            if len(page["items"]) < limit:
+            if not page["items"] or len(rows) >= page.get("total", float("inf")):
                 yield from rows
                 return
     raise Moved(url)

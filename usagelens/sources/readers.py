@@ -35,12 +35,16 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prometheus(lines: DataFrame) -> DataFrame:
-    """(name, labels map, value) of exposition lines; comments and lines that don't parse are left out."""
+    """(name, labels map, value) of exposition lines; comments and lines that don't parse are left out. The expressions are fixed by the
+    exposition format."""
     form = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+([^\s]+)(?:\s+\d+)?$"
     x = lines.where(~F.startswith("value", F.lit("#"))).select(F.regexp_extract("value", form, 1).alias("name"), F.regexp_extract("value", form, 2).alias("l"), F.regexp_extract("value", form, 3).try_cast("double").alias("v"))
     names = F.regexp_extract_all("l", F.lit(r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'), 1)
     values = F.regexp_extract_all("l", F.lit(r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'), 2)
-    return x.where("name <> '' and v is not null").select("name", F.map_from_arrays(names, values).alias("labels"), F.col("v").alias("value"))
+    # of a label given twice the last counts
+    last = lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["n"]), F.map_from_entries(F.array(F.struct(e["n"], e["v"]))))
+    labels = F.aggregate(F.zip_with(names, values, lambda n, v: F.struct(n.alias("n"), v.alias("v"))), F.create_map().cast("map<string,string>"), last)
+    return x.where("name <> '' and v is not null").select("name", labels.alias("labels"), F.col("v").alias("value"))
 
 
 def counts(lines: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def counts(lines: DataFrame) -> DataFrame:
 
 def steal_ticks(lines: DataFrame) -> DataFrame:
     """The steal ticks of /proc/stat's cpu line."""
-    return lines.where(F.startswith("value", F.lit("cpu "))).select(F.split(F.trim("value"), r"\s+")[8].try_cast("long").alias("steal"))
+    return lines.where(F.startswith("value", F.lit("cpu "))).select(F.try_element_at(F.split(F.trim("value"), r"\s+"), F.lit(9)).try_cast("long").alias("steal"))
 
 
 def cpu_set(col):
