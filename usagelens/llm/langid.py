@@ -1,9 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes (operator 3).
 
-The network reads sequences of bytes: each run of non-blank characters, lower-cased, between two blanks (longer runs
-are cut every 62 bytes). It gives every byte a distribution over the languages; a document's probabilities are the
-mean over the bytes of its runs that hold a letter. It is trained in numpy by backpropagation through time. Equal
-runs have equal labels, so a worker computes each run once while it remembers it.
+The network reads the lower-cased text as it stands, blanks included. A text is read in stretches of SPAN bytes, each together with
+WARM bytes of the text before and after it (to the next character), so a byte's state never begins at the byte's own stretch. Every byte
+gets a distribution over the languages; a document's probabilities are the mean over the bytes of its letters. The network is trained
+in numpy by backpropagation through time.
 """
 
 from __future__ import annotations
@@ -15,10 +15,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WIDTH, MEMO = 62, 800_000
+from .base import utf8
+
+SPAN, WARM = 224, 16
+#: Characters of a training window, and rows that the network works on at a time.
+WINDOW, ROWS = 64, 2048
 #: Steps in which a share of the rows is drawn: fine enough for 10^12 rows of a language.
 SHARES = 10**15
 _ASCII_LETTER = re.compile("[A-Za-z]")
+#: Bytes of letters: the ASCII ones, and all beyond ASCII.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -28,7 +35,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Embedding, one gated recurrent layer each way, a linear layer and softmax at every position."""
 
-    def __init__(self, languages: list[str], hidden: int = 12, embed: int = 8, seed: int = 7):
+    def __init__(self, languages: list[str], hidden: int = 8, embed: int = 8, seed: int = 7):
         r = np.random.default_rng(seed)
         self.languages, self.hidden = languages, hidden
         p = {"E": r.normal(0, 0.5, (256, embed)), "V": r.normal(0, 0.3, (2 * hidden, len(languages))), "c": np.zeros(len(languages))}
@@ -37,99 +44,128 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
 
     @staticmethod
-    def rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes padded to the longest, lengths), each word between two blanks."""
-        sizes = np.array([len(w) + 2 for w in words])
+    def rows(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes padded to the longest, lengths)."""
+        sizes = np.array([len(w) for w in windows])
         wide = int(sizes.max())
-        flat = b"".join((b" " + w + b" ").ljust(wide, b"\0") for w in words)
-        return np.frombuffer(flat, np.uint8).reshape(len(words), wide), sizes
+        return np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in windows), np.uint8).reshape(len(windows), wide), sizes
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """Hidden states (time, row, hidden) in the order of x; where mask is 0 the state stays 0 or as it was."""
+    def _run(self, x: np.ndarray, mask: np.ndarray | None, d: str, keep: list | None) -> np.ndarray:
+        """Hidden states (time, row, hidden) in the order of x; where mask is 0 the state stays as it was."""
         h, p = self.hidden, self.p
-        given, u = (p["E"] @ p[f"W{d}"] + p[f"b{d}"])[x], p[f"U{d}"]  # the input's part by table
-        state = np.zeros((x.shape[1], h), np.float32)
-        out = np.zeros((x.shape[0], x.shape[1], h), np.float32)
+        table, u = p["E"] @ p[f"W{d}"] + p[f"b{d}"], p[f"U{d}"]  # the input's part by table
+        u_gates, u_new = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+        state = np.zeros((x.shape[1], h), self.p["E"].dtype)
+        out = np.zeros((x.shape[0], x.shape[1], h), state.dtype)
         for t in range(x.shape[0]) if d == "f" else range(x.shape[0] - 1, -1, -1):
-            g, m = given[t], mask[t][:, None]
-            rec = state @ u[:, : 2 * h]
-            rz = _sigmoid(g[:, : 2 * h] + rec)
+            g = table[x[t]]
+            rz = _sigmoid(g[:, : 2 * h] + state @ u_gates)
             r, z = rz[:, :h], rz[:, h:]
             rs = r * state
-            n = np.tanh(g[:, 2 * h :] + rs @ u[:, 2 * h :])
+            n = np.tanh(g[:, 2 * h :] + rs @ u_new)
+            m = 1 if mask is None else mask[t][:, None]
             new = state + m * z * (n - state)
             if keep is not None:
                 keep.append((t, state, r, z, rs, n, m))
             state = out[t] = new
         return out
 
-    def label(self, words: list[bytes]) -> list[np.ndarray]:
-        """The distribution over the languages of every byte of every word."""
-        x, sizes = self.rows(words)
-        probs = self._probabilities(x, sizes)
-        return [probs[1 : s - 1, i] for i, s in enumerate(sizes)]
+    def label(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The distribution over the languages of every byte of every (lower-cased) text."""
+        out = [np.zeros((len(t), len(self.languages)), np.float32) for t in texts]
+        data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        for probs, first, doc, start, size in self._stretches(data, at):
+            for i in range(len(doc)):
+                a = start[i] - at[doc[i]]
+                out[doc[i]][a : a + size[i]] = probs[start[i] - first[i] : start[i] - first[i] + size[i], i]
+        return out
 
-    def _probabilities(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        xt = np.ascontiguousarray(x.T)
-        mask = (np.arange(len(xt))[:, None] < sizes).astype(np.float32)
-        both = np.concatenate([self._run(xt, mask, d, None) for d in "fb"], axis=2)
-        logits = both @ self.p["V"] + self.p["c"]
-        logits -= logits.max(axis=2, keepdims=True)
-        e = np.exp(logits)
-        return e / e.sum(axis=2, keepdims=True)
-
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """The sum over each word's bytes of their distributions."""
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for a in range(0, len(order), 2048):
-            part = order[a : a + 2048]
-            x, sizes = self.rows([words[i] for i in part])
-            probs = self._probabilities(x, sizes)
+    def _stretches(self, data: np.ndarray, at: np.ndarray):
+        """(probabilities (time, row, language), first byte read, document, first own byte, own bytes) for the stretches of all texts."""
+        sizes = np.diff(at)
+        many = -(-sizes // SPAN)
+        doc = np.repeat(np.arange(len(sizes)), many)
+        start = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * SPAN
+        stop = np.minimum(start + SPAN, at[doc + 1])
+        first, last = np.maximum(start - WARM, at[doc]), np.minimum(stop + WARM, at[doc + 1])
+        inner = np.append((data & 0xC0) == 0x80, False)  # within a character
+        for _ in range(3):
+            first = np.where(inner[first] & (first > at[doc]), first - 1, first)
+            last = np.where(inner[last] & (last < at[doc + 1]), last + 1, last)
+        order = np.argsort(last - first, kind="stable")  # rows of a batch are about as long
+        for a in range(0, len(order), ROWS):
+            k = order[a : a + ROWS]
+            length = last[k] - first[k]
+            t = np.arange(int(length.max()))[:, None]
+            x = data[np.minimum(first[k] + t, len(data) - 1)]
+            full = int(length.min()) == len(x)
+            mask = None if full else (t < length).astype(np.float32)
+            both = np.concatenate([self._run(x, mask, d, None) for d in "fb"], axis=2)
+            logits = both @ self.p["V"] + self.p["c"]
+            logits -= logits.max(axis=2, keepdims=True)
+            e = np.exp(logits, out=logits)
+            e /= e.sum(axis=2, keepdims=True)
+            yield e, first[k], doc[k], start[k], stop[k] - start[k]
+
+    def pooled(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of each text the sum over the bytes of its letters of their distributions."""
+        out = np.zeros((len(at) - 1, len(self.languages)))
+        for probs, first, doc, start, size in self._stretches(data, at):
             t = np.arange(len(probs))[:, None]
-            out[part] = np.einsum("tbc,tb->bc", probs, ((t >= 1) & (t < sizes - 1)).astype(np.float32))
+            place = first + t
+            own = (place >= start) & (place < start + size) & _LETTER[data[np.minimum(place, len(data) - 1)]]
+            np.add.at(out, doc, np.einsum("tbc,tb->bc", probs, own.astype(np.float32)))
         return out
 
-    def train(self, words: list[bytes], labels: np.ndarray, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 11) -> Network:
-        """Adam on the mean cross entropy of all positions; gradients by backpropagation through time."""
-        r, h, p = np.random.default_rng(seed), self.hidden, self.p
+    def loss_and_gradient(self, windows: list[bytes], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean cross entropy of all positions, and its gradient by backpropagation through time."""
+        h, p = self.hidden, self.p
+        x, sizes = self.rows(windows)
+        xt = np.ascontiguousarray(x.T)
+        mask = (np.arange(len(xt))[:, None] < sizes).astype(p["E"].dtype)
+        kept: dict[str, list] = {"f": [], "b": []}
+        states = {d: self._run(xt, mask, d, kept[d]) for d in "fb"}
+        both = np.concatenate([states["f"], states["b"]], axis=2)
+        logits = both @ p["V"] + p["c"]
+        e = np.exp(logits - logits.max(axis=2, keepdims=True))
+        g = e / e.sum(axis=2, keepdims=True)
+        rows = np.arange(len(windows))
+        loss = float(-(np.log(g[:, rows, labels]) * mask).sum() / mask.sum())
+        g[:, rows, labels] -= 1
+        g *= (mask / mask.sum())[:, :, None]
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        grad["V"] = np.einsum("tbh,tbc->hc", both, g)
+        grad["c"] = g.sum((0, 1))
+        back = g @ p["V"].T
+        for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+            u, flow = p[f"U{d}"], np.zeros((len(windows), h), p["E"].dtype)
+            gates = np.zeros((*xt.shape, 3 * h), p["E"].dtype)
+            for t, state, rr, z, rs, n, m in reversed(kept[d]):
+                flow = flow + back[t][:, part]
+                dn = flow * m * z * (1 - n * n)
+                dz = flow * m * (n - state) * z * (1 - z)
+                drs = dn @ u[:, 2 * h :].T
+                dr = drs * state * rr * (1 - rr)
+                drz = np.concatenate([dr, dz], axis=1)
+                grad[f"U{d}"][:, : 2 * h] += state.T @ drz
+                grad[f"U{d}"][:, 2 * h :] += rs.T @ dn
+                gates[t] = np.concatenate([drz, dn], axis=1)
+                flow = flow * (1 - m * z) + drs * rr + drz @ u[:, : 2 * h].T
+            grad[f"b{d}"] = gates.sum((0, 1))
+            flat, ids = gates.reshape(-1, 3 * h), xt.reshape(-1)
+            table = np.stack([np.bincount(ids, flat[:, j], 256) for j in range(3 * h)], axis=1).astype(p["E"].dtype)  # by input byte
+            grad[f"W{d}"] = p["E"].T @ table
+            grad["E"] += table @ p[f"W{d}"].T
+        return loss, grad
+
+    def train(self, windows: list[bytes], labels: np.ndarray, steps: int = 300, batch: int = 128, rate: float = 0.02, seed: int = 11) -> Network:
+        """Adam on loss_and_gradient; every language has an equal share of each batch."""
+        r, p = np.random.default_rng(seed), self.p
         m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         by = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
         for step in range(1, steps + 1):
             pick = np.concatenate([r.choice(own, max(1, batch // len(by))) for own in by if len(own)])
-            x, sizes = self.rows([words[i] for i in pick])
-            xt = np.ascontiguousarray(x.T)
-            mask = (np.arange(len(xt))[:, None] < sizes).astype(np.float32)
-            kept: dict[str, list] = {"f": [], "b": []}
-            states = {d: self._run(xt, mask, d, kept[d]) for d in "fb"}
-            both = np.concatenate([states["f"], states["b"]], axis=2)
-            logits = both @ p["V"] + p["c"]
-            e = np.exp(logits - logits.max(axis=2, keepdims=True))
-            g = e / e.sum(axis=2, keepdims=True)
-            g[:, np.arange(len(pick)), labels[pick]] -= 1
-            g *= (mask / mask.sum())[:, :, None]
-            grad = {k: np.zeros_like(v) for k, v in p.items()}
-            grad["V"] = np.einsum("tbh,tbc->hc", both, g)
-            grad["c"] = g.sum((0, 1))
-            back = g @ p["V"].T
-            for d, cut in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
-                u, flow = p[f"U{d}"], np.zeros((len(pick), h), np.float32)
-                gates = np.zeros((*xt.shape, 3 * h), np.float32)
-                for t, state, rr, z, rs, n, m in reversed(kept[d]):
-                    flow = flow + back[t][:, cut]
-                    dn = flow * m * z * (1 - n * n)
-                    dz = flow * m * (n - state) * z * (1 - z)
-                    drs = dn @ u[:, 2 * h :].T
-                    dr = drs * state * rr * (1 - rr)
-                    drz = np.concatenate([dr, dz], axis=1)
-                    grad[f"U{d}"][:, : 2 * h] += state.T @ drz
-                    grad[f"U{d}"][:, 2 * h :] += rs.T @ dn
-                    gates[t] = np.concatenate([drz, dn], axis=1)
-                    flow = flow * (1 - m * z) + drs * rr + drz @ u[:, : 2 * h].T
-                grad[f"b{d}"] = gates.sum((0, 1))
-                flat, ids = gates.reshape(-1, 3 * h), xt.reshape(-1)
-                grad[f"W{d}"] = p["E"][ids].T @ flat
-                np.add.at(grad["E"], ids, flat @ p[f"W{d}"].T)
+            _, grad = self.loss_and_gradient([windows[i] for i in pick], labels[pick])
             size = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
             slow = rate * min(1, 2 * (1 - step / (steps + 1)))
             for k, v in grad.items():
@@ -140,14 +176,9 @@ class Network:
         return self
 
 
-def cut_runs(run: str) -> list[bytes]:
-    b = run.encode()
-    return [b[i : i + WIDTH] for i in range(0, len(b), WIDTH)]
-
-
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 240, runs_per_row: int = 200, most_languages: int = 256, steps: int = 500) -> Network | None:
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 240, windows_per_row: int = 12, most_languages: int = 256, steps: int = 300) -> Network | None:
     """A network trained on a bounded sample: about rows_per_language documents of each language (those of
-    the lowest hash of key) and runs_per_row runs spread evenly over each. Only rows where train holds and text and lang
+    the lowest hash of key) and windows_per_row windows of WINDOW characters spread evenly over each. Only rows where train holds and text and lang
     aren't null count; beyond most_languages, the rarest languages aren't learned. None if no row is left.
     """
     rows = docs.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"))
@@ -155,62 +186,38 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     if not sizes:
         return None
     share = F.create_map(*[x for s in sizes for x in (F.lit(s[0]), F.lit(int(min(1.0, rows_per_language / s[1]) * SHARES)))])
-    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(29)), F.lit(SHARES)) < share[F.col("lang")])
-    runs = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w.rlike(r"\p{L}"))
-    step = F.greatest(F.lit(1), F.ceil(F.size("runs") / runs_per_row)).cast("int")
-    some = drawn.select("lang", "key", runs.alias("runs")).where("size(runs) > 0")
-    some = some.select("lang", F.transform(F.sequence(F.lit(0), F.floor((F.size("runs") - 1) / step).cast("int")), lambda i: F.substring(F.get("runs", i * step), 1, WIDTH)).alias("runs"), F.xxhash64("key", F.lit(29)).alias("at"))
-    got = some.orderBy("at", "runs").limit(2 * rows_per_language * len(sizes)).collect()
+    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(29)), F.lit(SHARES)) < share[F.col("lang")]).where(F.rlike("text", F.lit(r"\p{L}")))
+    size = F.length("text")
+    step = F.greatest(F.lit(WINDOW), F.ceil(size / windows_per_row)).cast("int")
+    some = drawn.select("lang", F.transform(F.sequence(F.lit(0), F.floor((size - 1) / step).cast("int")), lambda i: F.lower(F.substring("text", i * step + 1, F.lit(WINDOW)))).alias("windows"), F.xxhash64("key", F.lit(29)).alias("at"))
+    got = some.orderBy("at", "windows").limit(2 * rows_per_language * len(sizes)).collect()
     languages = sorted({r.lang for r in got})
-    words = [(w.encode()[:WIDTH], languages.index(r.lang)) for r in got for w in r.runs if w]
-    if not words:
+    windows = [(w.encode(), languages.index(r.lang)) for r in got for w in r.windows if any(map(str.isalpha, w))]
+    if not windows:
         return None
-    return Network(languages).train([w for w, _ in words], np.array([k for _, k in words]), steps)
+    return Network(languages).train([w for w, _ in windows], np.array([k for _, k in windows]), steps)
 
 
 def _predicting(net: Network | None, text: str):
     def run(batches):
-        memo: dict[str, int] = {}
-        table = np.zeros((1 << 14, len(net.languages) + 1 if net else 1), np.float32)
         for batch in batches:
             col = batch.schema.get_field_index(text)
-            langs: list[str] = []
-            scores: list[float] = []
-            for a in range(0, batch.num_rows, 1024):
-                texts = batch.column(col).slice(a, 1024).to_pylist()
-                if net is None:
-                    langs += ["und"] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
-                runs = [t.lower().split() if t else [] for t in texts]
-                fresh = {w for ws in runs for w in ws} - memo.keys()
-                if len(memo) + len(fresh) > MEMO:
-                    memo = {}
-                    fresh = {w for ws in runs for w in ws}
-                known = [w for w in fresh if _ASCII_LETTER.search(w) or any(map(str.isalpha, w))]
-                n = len(memo)
-                if n + len(fresh) > len(table):
-                    table = np.concatenate([table, np.zeros((max(len(table), len(fresh)), table.shape[1]), np.float32)])
-                table[n : n + len(fresh)] = 0
-                parts = [(i, c) for i, w in enumerate(known) for c in cut_runs(w)]
-                if parts:
-                    at = np.array([i for i, _ in parts]) + n
-                    np.add.at(table[:, :-1], at, net.pooled([c for _, c in parts]))
-                    np.add.at(table[:, -1], at, np.array([len(c) for _, c in parts], np.float32))
-                memo.update((w, n + i) for i, w in enumerate(known))
-                last = n + len(known)
-                memo.update((w, last + i) for i, w in enumerate(fresh - set(known)))
-                get = memo.__getitem__
-                for ws in runs:
-                    total = table[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0, dtype=np.float64) if ws else np.zeros(table.shape[1])
-                    if total[-1] == 0:
-                        langs.append("und")
-                        scores.append(0.0)
-                    else:
-                        p = total[:-1] / total[:-1].sum()
-                        k = int(p.argmax())
-                        langs.append(net.languages[k])
-                        scores.append(float(p[k]))
+            langs: list[str | None] = ["und"] * batch.num_rows
+            scores = [0.0] * batch.num_rows
+            texts = batch.column(col).to_pylist() if net is not None else []
+            # whole texts, a few megabytes at a time; a longer one alone
+            held, size = [], 0
+            for i, t in enumerate(texts):
+                if t and (_ASCII_LETTER.search(t) or any(map(str.isalpha, t))):
+                    held.append((i, t.lower()))
+                    size += len(t)
+                if held and (size >= 1 << 21 or i + 1 == len(texts)):
+                    data, at = utf8(pa.array([x for _, x in held], pa.large_string()))
+                    total = net.pooled(data, at)
+                    for (k, _), p in zip(held, total, strict=True):
+                        best = int(p.argmax())
+                        langs[k], scores[k] = net.languages[best], float(p[best] / p.sum())
+                    held, size = [], 0
             kept = [c for i, c in enumerate(batch.columns) if i != col]
             names = [c for i, c in enumerate(batch.schema.names) if i != col]
             yield pa.RecordBatch.from_arrays([*kept, batch.column(col), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, text, "lang_pred", "score"])
