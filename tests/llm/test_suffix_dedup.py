@@ -49,7 +49,7 @@ def corpus():
 def test_against_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     if hot == 3:
-        monkeypatch.setattr(suffix_dedup, "LOCAL", 1)
+        monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()}
@@ -68,12 +68,47 @@ def test_long_text_is_worked_through_in_steps(monkeypatch):
     text = rnd.integers(97, 123, 5000, dtype=np.uint8)
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text.tobytes().decode()])], ["d", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([2], pa.int64()), pa.array([text.tobytes().decode()])], ["d", "n", "text"])
     (cols,) = suffix_dedup._rows([batch], 200, np.zeros(0, np.int64))
     windows = sorted(w for ws, k in zip(cols[4], cols[5], strict=True) for w in range(ws, ws + k))
     assert windows == list(range(4801))
 
 
+def test_clashing_names_and_repeated_rows(spark):
+    line = "the same words again and again, " * 10
+    docs = spark.createDataFrame([(1, line, 7, 8, 9, 10), (1, line, 7, 8, 9, 10), (2, "x" + line[:150], 1, 2, 3, 4)], "d long, text string, n int, _d int, rest int, spans int")
+    got = remove_repeats(docs).orderBy("d").collect()
+    assert [(r.d, r.n, r._d, r.rest, r.n_bytes, r.n_removed) for r in got] == [(1, 7, 8, 9, 320, 320)] * 2 + [(2, 1, 2, 3, 151, 0)]
+
+
+def test_an_anchor_in_every_task(spark, monkeypatch):
+    """A passage that each of many tasks holds a few times, all in different surroundings."""
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(230))
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(300)) + passage + "".join(rnd.choice("abcdefgh ") for _ in range(200)) for _ in range(240)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 100)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(24)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200)
+
+
+def test_a_long_repetitive_text(spark):
+    """20 MB: a line over and over, with a number in between that makes each place a range of its own."""
+    text = "".join(f"{'a line that comes again and again in this text, ' * 5}{i * 7919 % 1_000_003}\n" for i in range(80_000))
+    got = remove_repeats(spark.createDataFrame([(1, text), (2, text[:50_000]), (3, "short")], "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[2].n_removed == 50_000 and by[3].n_removed == 0
+    assert by[1].n_bytes == len(text) and by[1].n_removed > 0.9 * len(text)
+
+
+def test_twins_are_compared_by_their_bytes():
+    text = np.frombuffer(b"abcdeabcdfabc", np.uint8)
+    at, size, first = np.array([5, 5, 10, 5]), np.array([4, 5, 3, 1]), np.zeros(4, np.int64)
+    assert suffix_dedup._unequal(text, at, size, first).tolist() == [False, True, False, False]
+    assert suffix_dedup._unequal(text, at[:0], size[:0], first[:0]).tolist() == []
+
+
 def test_suffix_sort_orders_by_content():
     r = np.random.default_rng(1)
     text = r.integers(97, 99, 4000, dtype=np.uint8)

@@ -2,14 +2,17 @@
 
 A window is a string of LENGTH bytes of one text; a byte goes if a window over it also starts elsewhere.
 
+Texts are known by 128 bits (d, n), two hashes of theirs.
 1. Anchors. In every window the leftmost smallest hash among its 64-byte grams is its anchor; equal windows have equal
    anchors at equal offsets, and runs of neighbouring windows share one. So one row per run (about 1.5 % of the bytes)
    is shuffled by anchor instead of one per window. A task sends a run once, however often it holds it.
-2. Runs alone with their anchor are unique. Runs with an equal twin (anchor and context digest) repeat throughout.
+2. Runs alone with their anchor are unique. Runs with an equal twin (anchor and context digest, 128 bits together) repeat
+   throughout; twins of one task are compared byte by byte.
 3. What is left meets text that differs nearby. There the contexts are fetched, and the suffixes that start
    at their windows are sorted by a mergesort whose comparisons find the common extension by binary search over prefix
    polynomial hashes. Neighbours that agree over LENGTH bytes are compared byte by byte before they count.
-Anchors with too many runs for one task are dealt out by window instead: their windows' two 64-bit hashes are the key.
+Anchors with too many runs for one task are dealt out by window instead: their windows' two 64-bit hashes are the key. A sample of the runs
+finds those anchors; it decides only which of the two ways a window is judged.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from .base import materialize, mix, partitions, powers, utf8
 LENGTH = 200
 STEP, FLUSH = 1 << 19, 1_500_000
 SECOND = 0xC2B2AE3D27D4EB4F
-#: An anchor with this many runs at least, or this share of all, is dealt out by window: at most 65,536 anchors.
-HOT, HOT_SHARE, LOCAL = 4096, 1 / 65_536, 16
+#: An anchor with about this many runs at least, or this share of all, is dealt out by window: a million anchors at most, 8 MB. One run in
+#: SAMPLE is counted.
+HOT, HOT_SHARE, SAMPLE = 4096, 1 / (1 << 20), 64
 ROW = ["key", "sub", "d", "n", "ws", "k", "off", "w"]
-ROW_SCHEMA = "key long, sub long, d long, n int, ws int, k int, off int, w int"
+ROW_SCHEMA = "key long, sub long, d long, n long, ws int, k int, off int, w int"
 
 
 def _prefix(data: np.ndarray, base: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +77,14 @@ def runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple:
     return ws, we, a - ws, h[a], context, prefix, down
 
 
-def _rows(batches, length: int, hot: np.ndarray):
-    """Columns of ROW for about FLUSH runs at a time."""
+def _rows(batches, length: int, hot: np.ndarray, texts: list | None = None):
+    """Columns of ROW (without w) for about FLUSH runs at a time; batches: d, n, text. With texts, that list holds the bytes that the runs
+    come from, and a last column says where in them each run begins."""
     acc: list[list[np.ndarray]] = []
     held = 0
     for batch in batches:
-        data, at = utf8(batch.column(1))
-        ident = batch.column(0).to_numpy(zero_copy_only=False)
+        data, at = utf8(batch.column(2))
+        ident, second_ident = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
         parts, sizes = [], 0
 
         def work(parts):
@@ -89,7 +94,10 @@ def _rows(batches, length: int, hot: np.ndarray):
             seg = np.searchsorted(starts, ws, "right") - 1
             doc = np.array([i for i, _, _ in parts])[seg]
             first = np.array([s for _, s, _ in parts])[seg] - at[doc] - starts[seg]  # from a place here to one in the text
-            cols = [ha.view(np.int64), hc.view(np.int64), ident[doc], (at[doc + 1] - at[doc]), ws + first, we - ws, off]
+            cols = [ha.view(np.int64), hc.view(np.int64), ident[doc], second_ident[doc], ws + first, we - ws, off]
+            if texts is not None:
+                cols.append(ws + sum(map(len, texts)))
+                texts.append(joined)
             many = np.isin(cols[0], hot) if len(hot) else np.zeros(len(ws), bool)
             if many.any():
                 second, down2 = _prefix(joined, SECOND)
@@ -99,6 +107,8 @@ def _rows(batches, length: int, hot: np.ndarray):
                 one = mix((prefix[w + length] - prefix[w]) * down[w]).view(np.int64)
                 two = mix((second[w + length] - second[w]) * down2[w]).view(np.int64)
                 more = [one, two, cols[2][each], cols[3][each], w + first[each], np.ones(len(w), np.int64), np.full(len(w), -1)]
+                if texts is not None:
+                    more.append(w + sum(map(len, texts[:-1])))
                 cols = [np.concatenate((c[~many], x)) for c, x in zip(cols, more, strict=True)]
             return cols
 
@@ -114,6 +124,8 @@ def _rows(batches, length: int, hot: np.ndarray):
                     if held >= FLUSH:
                         yield [np.concatenate(c) for c in zip(*acc, strict=True)]
                         acc, held = [], 0
+                        if texts is not None:
+                            texts.clear()
         if parts:
             acc.append(work(parts))
             held += len(acc[-1][0])
@@ -133,30 +145,57 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _heavy(length: int):
-    """(anchor, runs) where one task holds LOCAL different runs of an anchor at least, and (null, all runs)."""
+    """(anchor, runs) of a sample of the different runs of each task, and (null, all its runs)."""
 
     def run(batches):
-        for key, sub, *_ in _rows(batches, length, np.zeros(0, np.int64)):
+        for key, sub, d, n, ws, *_ in _rows(batches, length, np.zeros(0, np.int64)):
             order, starts = _groups(key, sub)
-            anchors, counts = np.unique(key[order][starts], return_counts=True)
-            many = counts >= LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array([None, *anchors[many].tolist()], pa.int64()), pa.array([len(starts), *counts[many].tolist()], pa.int64())], ["key", "runs"])
+            one = order[starts]
+            drawn = one[mix((sub[one] ^ d[one] ^ ws[one]).view(np.uint64)) % np.uint64(SAMPLE) == 0]
+            anchors, counts = np.unique(key[drawn], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *anchors.tolist()], pa.int64()), pa.array([len(starts), *counts.tolist()], pa.int64())], ["key", "runs"])
 
     return run
 
 
 def _emit(cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.int32()) for i, c in enumerate(cols)], ROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.int32()) for i, c in enumerate(cols)], ROW)
+
+
+def _unequal(text: np.ndarray, at: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which stretches of text differ from the stretch that begins at first, of the same size; a bounded number of bytes at a time."""
+    out = np.zeros(len(at), bool)
+    ends = np.cumsum(size)
+    for a in range(0, len(at), 4096):
+        i = np.arange(a, min(a + 4096, len(at)))
+        begin = ends[i] - size[i] - (ends[a] - size[a])
+        inside = np.arange(int(size[i].sum())) - np.repeat(begin, size[i])
+        differ = text[np.repeat(at[i], size[i]) + inside] != text[np.repeat(first[i], size[i]) + inside]
+        out[i] = np.add.reduceat(differ, begin) > 0
+    return out
 
 
 def _sending(length: int, hot: np.ndarray):
     """Runs for the shuffle: one of each kind with its weight (2: several), and what is known here to repeat (w = 0)."""
 
     def run(batches):
-        for cols in _rows(batches, length, hot):
+        texts: list[np.ndarray] = []
+        for cols in _rows(batches, length, hot, texts):
+            *cols, place = cols
             key, sub, d, n, ws, k, off = cols
             order, starts = _groups(key, sub)
             sizes = np.diff(np.append(starts, len(order)))
+            # twins byte by byte: one that only its digests share gets a digest of its bytes
+            text, lead = np.concatenate(texts), np.repeat(order[starts], sizes)
+            pair = np.flatnonzero(order != lead)
+            wide = k[order[pair]] - 1 + length
+            wrong = order[pair][(k[order[pair]] != k[lead[pair]]) | _unequal(text, place[order[pair]], wide, place[lead[pair]])]
+            if len(wrong):
+                sub = cols[1] = sub.copy()
+                for r in wrong.tolist():
+                    sub[r] = np.frombuffer(hashlib.sha256(text[place[r] : place[r] + k[r] - 1 + length].tobytes()).digest()[:8], np.int64)[0]
+                order, starts = _groups(key, sub)
+                sizes = np.diff(np.append(starts, len(order)))
             one = order[starts]
             yield _emit([*(c[one] for c in cols), np.minimum(sizes, 2)])
             again = order[np.repeat(sizes >= 2, sizes)]
@@ -203,7 +242,7 @@ def _judging(batches):
                 out.append((d[p], n[p], ws[p], k[p], key[p], flag))
         sizes = [len(x[0]) for x in out]
         flags = [f for x, s in zip(out, sizes, strict=True) for f in [x[5]] * s]
-        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[i] for x in out]), pa.int64() if i in (0, 4) else pa.int32()) for i in range(5)), pa.array(flags, pa.bool_())], names)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([x[i] for x in out]), pa.int64() if i in (0, 1, 4) else pa.int32()) for i in range(5)), pa.array(flags, pa.bool_())], names)
 
     kept = None
     for batch in batches:
@@ -322,7 +361,7 @@ def _contexts(length: int):
                 for a in asks:
                     s = int(at[i]) + a["ws"]
                     out.append((a["key"], d[i], n[i], a["ws"], a["k"], a["need"], data[s : s + a["k"] - 1 + length].tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["key", "d", "n", "ws", "k", "need", "context"])
 
     return run
@@ -349,7 +388,7 @@ def _sorting(length: int):
         stop[:-1] &= ~hit[1:] | (row[1:] != row[:-1])
         b, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         d, n, ws = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
-        return pa.RecordBatch.from_arrays([pa.array(d[row[b]], pa.int64()), pa.array(n[row[b]], pa.int32()), pa.array(ws[row[b]] + inside[b], pa.int32()), pa.array(e - b, pa.int32())], ["d", "n", "ws", "k"])
+        return pa.RecordBatch.from_arrays([pa.array(d[row[b]], pa.int64()), pa.array(n[row[b]], pa.int64()), pa.array(ws[row[b]] + inside[b], pa.int32()), pa.array(e - b, pa.int32())], ["d", "n", "ws", "k"])
 
     def run(batches):
         held: list = []
@@ -367,35 +406,54 @@ def _sorting(length: int):
     return run
 
 
+#: The second seed of a text's hashes.
+SEED = 0x5EED
+
+
+def _spans(length: int):
+    """(d, n, ranges [start, stop) sorted by start) to their unions."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for ranges in batch.column(2).to_pylist():
+                merged: list[dict] = []
+                for r in ranges:
+                    if merged and merged[-1]["stop"] >= r["start"]:
+                        merged[-1]["stop"] = max(merged[-1]["stop"], r["stop"])
+                    else:
+                        merged.append(r)
+                out.append(merged)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["d", "n", "spans"])
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """(d, n, spans): the maximal byte ranges [start, stop) to remove from each text that has any.
 
-    d is xxhash64 of the text and n its size in bytes. Texts below length bytes, and null ones, have none. Copies of a text
+    d and n are xxhash64 of the text without and with a seed. Texts below length bytes, and null ones, have none. Copies of a text
     are other places: a text of length bytes or more that occurs twice is covered wholly.
     """
     spark = docs.sparkSession
-    d, n = F.xxhash64(F.col(text)), F.octet_length(F.col(text))
-    texts = docs.where(n >= length).select(d.alias("d"), F.col(text).alias("text"))
+    texts = docs.where(F.octet_length(F.col(text)) >= length).select(F.xxhash64(F.col(text)).alias("d"), F.xxhash64(F.lit(SEED), F.col(text)).alias("n"), F.col(text).alias("text"))
     heavy = texts.mapInArrow(_heavy(length), "key long, runs long").groupBy("key").agg(F.sum("runs").alias("runs"))
     heavy = materialize(heavy, "heavy")
     total = heavy.where("key is null").agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]
-    least = max(HOT, int(total * HOT_SHARE))
-    hot = np.array([r[0] for r in heavy.where(f"key is not null and runs >= {least}").select("key").collect()], np.int64)  # at most 1 / HOT_SHARE keys
+    least = max(HOT, int(total * HOT_SHARE)) // (2 * SAMPLE)  # half of what is expected: a hot anchor is missed with probability 10^-5 at HOT, none at twice that
+    hot = np.array([r[0] for r in heavy.where(f"key is not null and runs >= {least}").select("key").collect()], np.int64)  # at most 2 / HOT_SHARE keys
     sent = texts.mapInArrow(_sending(length, hot), ROW_SCHEMA)
     sent = sent.repartition(partitions(spark), "key").sortWithinPartitions("key", "sub")
-    judged = materialize(sent.mapInArrow(_judging, "d long, n int, ws int, k int, key long, need boolean"), "judged")
+    judged = materialize(sent.mapInArrow(_judging, "d long, n long, ws int, k int, key long, need boolean"), "judged")
     asks = judged.where("need is not null").groupBy("d", "n").agg(F.collect_list(F.struct("key", "ws", "k", "need")).alias("asks"))
-    whole = docs.where(n >= length).select(d.alias("d"), n.alias("n"), F.col(text).alias("text")).groupBy("d", "n").agg(F.first("text").alias("text"))
-    contexts = asks.join(whole.hint("merge"), ["d", "n"]).select("d", "n", "asks", "text").mapInArrow(_contexts(length), "key long, d long, n int, ws int, k int, need boolean, context binary")
+    whole = texts.groupBy("d", "n").agg(F.first("text").alias("text"))
+    contexts = asks.join(whole.hint("merge"), ["d", "n"]).select("d", "n", "asks", "text").mapInArrow(_contexts(length), "key long, d long, n long, ws int, k int, need boolean, context binary")
     contexts = contexts.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    found = contexts.mapInArrow(_sorting(length), "d long, n int, ws int, k int")
+    found = contexts.mapInArrow(_sorting(length), "d long, n long, ws int, k int")
     windows = judged.where("need is null").select("d", "n", "ws", "k").union(found)
     ranges = F.array_sort(F.collect_list(F.struct(F.col("ws").alias("start"), (F.col("ws") + F.col("k") - 1 + length).alias("stop"))))
-    merged = F.aggregate(
-        "ranges", F.expr("cast(array() as array<struct<start:int,stop:int>>)"),
-        lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= r["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], r["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(r))),
-    )
-    return materialize(windows.groupBy("d", "n").agg(ranges.alias("ranges")).select("d", "n", merged.alias("spans")), "spans")
+    merged = windows.groupBy("d", "n").agg(ranges.alias("ranges")).mapInArrow(_spans(length), "d long, n long, spans array<struct<start:int,stop:int>>")
+    return materialize(merged, "spans")
 
 
 def _cutting(names: list[str], as_text: bool):
@@ -432,8 +490,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", as
     new = ["spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     spans = repeated_spans(docs, length, text)
     rest = [c for c in docs.columns if c not in new and c != text]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(text)).alias("_d"), F.octet_length(F.col(text)).alias("_n"), F.col(text).alias("_text"))
-    both = rows.join(spans.select(F.col("d").alias("_d"), F.col("n").alias("_n"), "spans"), ["_d", "_n"], "left").select(*[f"`{c}`" for c in rest], "spans", F.col("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.xxhash64(F.col(text)).alias("d"), F.xxhash64(F.lit(SEED), F.col(text)).alias("n"), F.col(text).alias("text"))
+    both = rows.join(spans, ["d", "n"], "left").select("rest.*", "spans", "text")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     return both.mapInArrow(_cutting(rest, as_text), f"{kinds}, spans array<struct<start:int,stop:int>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}".lstrip(", "))
 
