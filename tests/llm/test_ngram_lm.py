@@ -4,9 +4,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from usagelens.llm.elias_fano import EliasFano, open_arrays, write_arrays
-from usagelens.llm.ngram_lm import MU, held_out, quantise, score, train
+from usagelens.llm import ngram_lm
+from usagelens.llm.ngram_lm import MU, NU, held_out, quantise, score, train
 
 
 def test_elias_fano_against_plain_arrays(tmp_path):
@@ -40,7 +42,10 @@ def toks(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
 
 
-def test_scores_against_brute_force(spark):
+@pytest.mark.parametrize("tokens", [4_000_000, 40])
+def test_scores_against_brute_force(spark, tokens, monkeypatch):
+    """With few tokens a shard there are many shards, and the followers of frequent words are dealt out."""
+    monkeypatch.setattr(ngram_lm, "TOKENS", tokens)
     rnd = random.Random(6)
     vocab = ["a", "B", "ccc", "dd", "é", "f" * 300] + ["w%d" % i for i in range(60)]
     rows = [(i, " ".join(rnd.choices(vocab, weights=[1 / (k + 1) for k in range(len(vocab))], k=rnd.randrange(0, 60)))) for i in range(300)]
@@ -51,6 +56,10 @@ def test_scores_against_brute_force(spark):
     seen = [toks(r[1]) for r, g in zip(rows, got, strict=True) if not g.held_out]
     c = Counter(x for t in seen for x in t)
     pairs = Counter(p for t in seen for p in zip(["<s>", *t[:-1]], t, strict=True))
+    triples = Counter(p for t in seen if len(t) > 1 for p in zip(["<s>", *t[:-2]], t[:-1], t[1:], strict=True))
+    inside = Counter()
+    for (u, v, _), n in triples.items():
+        inside[u, v] += n
     total, distinct = sum(c.values()), len(c)
     past = Counter({**c, "<s>": len(seen)})
     assert any(g.held_out for g in got)
@@ -59,7 +68,9 @@ def test_scores_against_brute_force(spark):
         single = [math.log10((c[x] + 1) / (total + distinct + 1)) for x in w]
         assert (g.doc_id, g.n_tokens, g.n_known, g.train_tokens) == (d, len(w), sum(c[x] > 0 for x in w), total)
         assert abs(g.base_score - sum(single)) < 1e-6
-        exact = sum(math.log10((pairs[p, x] + MU * 10**s) / (past[p] + MU)) for p, x, s in zip(["<s>", *w[:-1]], w, single, strict=True))
+        second = [(pairs[p, x] + MU * 10**s) / (past[p] + MU) for p, x, s in zip(["<s>", *w[:-1]], w, single, strict=True)]
+        third = [(triples[u, v, x] + NU * p) / (inside[u, v] + NU) for u, v, x, p in zip(["<s>", *w[:-2]], w[:-1], w[1:], second[1:], strict=True)] if len(w) > 1 else []
+        exact = sum(map(math.log10, second[:1] + third))
         assert abs(g.score - exact) < 0.02 * len(w) + 1e-6  # quantised
 
 

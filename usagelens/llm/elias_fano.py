@@ -126,6 +126,17 @@ class EliasFano:
         return cls(n, width, words[:a], high, ones)
 
 
+def _store(uri: str):
+    """(file system or None for a mounted folder, path in it) of a path or URI."""
+    if uri.startswith("file:"):
+        return None, "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return None, uri
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri)
+
+
 def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
     """One file that open_arrays maps. It appears whole or not at all, so a task may be run twice."""
     head, at = {}, 0
@@ -134,18 +145,38 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
         at += -(-v.nbytes // 8) * 8
     text = json.dumps(head).encode()
     text += b" " * (-len(text) % 8)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    store, path = _store(path)
     part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
+    if store is None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        f = open(part, "wb")
+    else:
+        store.create_dir(os.path.dirname(path), recursive=True)
+        f = store.open_output_stream(part)
+    with f:
         f.write(np.array([len(text)], np.int64).tobytes() + text)
         for v in arrays.values():
             f.write(v.tobytes())
             f.write(b"\0" * (-v.nbytes % 8))
-    os.replace(part, path)
+    if store is None:
+        os.replace(part, path)
+    else:
+        store.move(part, path)
 
 
 def open_arrays(path: str) -> dict[str, np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
+    """The arrays of a file, mapped into memory; from a store that isn't mounted by way of a copy that vanishes with the process."""
+    store, path = _store(path)
+    if store is None:
+        raw = np.memmap(path, np.uint8, "r")
+    else:
+        import shutil
+        import tempfile
+
+        with tempfile.NamedTemporaryFile() as copy, store.open_input_stream(path) as f:
+            shutil.copyfileobj(f, copy)
+            copy.flush()
+            raw = np.memmap(copy.name, np.uint8, "r")
     size = int(raw[:8].view(np.int64)[0])
     head = json.loads(raw[8 : 8 + size].tobytes())
     return {k: raw[8 + size + at : 8 + size + at + np.dtype(kind).itemsize * n].view(kind) for k, (kind, n, at) in head.items()}

@@ -1,12 +1,15 @@
-"""A language model in an Elias-Fano trie (operator 9).
-
-Level 1 holds the words' hashes (ascending, so a word's rank is its id) with their counts; level 2 the words seen after each
-word. A context's followers lie between two monotone pointers; their ids are stored relative to the context, on top
-of the last value of the context before it, so that the level is one monotone sequence; a lookup is a successor search
-between the pointers. Each follower has an 8-bit quantised log probability. The levels are sharded files in the
-shared folder, written by tasks and mapped into memory by tasks: neither the driver nor a worker ever holds one.
-
-p(w | h) = (c(h, w) + MU p(w)) / (c(h) + MU), p(w) = (c(w) + 1) / (N + V + 1). Words count by a 64-bit hash.
+"""A language model of order three in an Elias-Fano trie (operator 9).
+
+Level 1 holds the words' hashes (ascending, so a word's rank is its id) with their counts. Below it the trie is dealt to shards by its
+first word; the followers of a word that fills more than a shard are dealt out too. A shard has the words it holds contexts of,
+level 2 with the words seen after each, and level 3 with the words seen after each of those pairs. A node's followers lie between two
+monotone pointers; their ids are stored relative to the node, on top of the last value of the node before it, so that each level is
+one monotone sequence; a lookup is a successor search between the pointers. Level 2 has an 8-bit quantised log probability for each
+follower, level 3 the quantised share of each, and each pair the quantised weight it leaves to order two. The levels are files in
+the shared folder, written by tasks and mapped into memory by tasks: neither the driver nor a worker ever holds one.
+
+p(w) = (c(w) + 1) / (N + V + 1); p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU); p(w | u, v) = (c(u, v, w) + NU p(w | v)) / (c(u, v) + NU), where c(u, v)
+counts those followed by a token. The first token of a text follows its start. Words count by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import local_path, materialize, mix, partitions, pieces, scratch, utf8, words
+from .base import materialize, mix, partitions, pieces, scratch, utf8, words
 from .elias_fano import EliasFano, open_arrays, write_arrays
 
-MU = 500.0
+MU, NU = 500.0, 5.0
 #: Word shards: 2^LEAST_BITS at least, and as many as keep them at about SHARD words.
 LEAST_BITS, SHARD = 4, 1 << 20
+#: Training tokens of a trie shard; a first word with more is dealt out by its follower.
+TOKENS = 4_000_000
 #: The hash that stands for the end of a text; tokens of one flush; bytes of one scoring piece.
 END, FLUSH, PIECE = np.uint64(0x5DEECE66D1A2B3C5), 3_000_000, 4 << 20
 U = np.uint64
@@ -102,6 +107,7 @@ class Model:
     bits: int = LEAST_BITS
     shards: int = 0
     mu: float = MU
+    nu: float = NU
     _open: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -131,61 +137,122 @@ class Model:
             counts[own[ok]] = arrays["count"][at[ok]]
         return ids, counts
 
-    def shard_of(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return (mix(one.astype(U) * U(0x9E3779B97F4A7C15) + two.astype(U)) % U(max(1, self.shards))).astype(np.int64)
-
-    def after(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The stored log10 probability of id two after context one (distinct is the start of a text); nan if unseen."""
-        out = np.full(len(one), np.nan)
-        shard = self.shard_of(one, two)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            own = order[cuts[s] : cuts[s + 1]]
-            if not len(own):
-                continue
-            arrays = self.file(f"pairs-{s}")
-            if not len(arrays["code"]):
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        """The counts of ids; distinct stands for the start of a text."""
+        out = np.full(len(ids), self.texts, np.int64)
+        shard = np.searchsorted(self.base, ids, "right") - 1
+        for s in np.unique(shard[ids < self.distinct]).tolist():
+            own = (shard == s) & (ids < self.distinct)
+            out[own] = self.file(f"words-{s}")["count"][ids[own] - self.base[s]]
+        return out
+
+    def shard_of(self, one: np.ndarray, two: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The shard of a pair whose first word has that count."""
+        fan = (count // TOKENS + 1).astype(U)
+        return (mix(one.astype(U) * U(0x9E3779B97F4A7C15) + mix(two.astype(U) + U(1)) % fan) % U(max(1, self.shards))).astype(np.int64)
+
+    def _levels(self, s: int):
+        arrays = self.file(f"trie-{s}")
+        if f"trie-{s}/ef" not in self._open:
+            names = ("one", "at2", "two", "at3", "three")
+            self._open[f"trie-{s}/ef"] = [EliasFano.read(arrays, n) for n in names] if len(arrays["code2"]) else None
+        return arrays, self._open[f"trie-{s}/ef"]
+
+    @staticmethod
+    def _child(pointer: EliasFano, child: EliasFano, node: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The place of value among the children of each node; -1 where it is none."""
+        a, b = pointer.get(node).astype(np.int64), pointer.get(node + 1).astype(np.int64)
+        out = np.full(len(node), -1, np.int64)
+        has = np.flatnonzero(a < b)
+        a, b = a[has], b[has]
+        under = np.zeros(len(has), U)
+        some = np.flatnonzero(a > 0)
+        under[some] = child.get(a[some] - 1) + U(1)
+        x = under + value[has].astype(U)
+        at = child.successor(x, a, b)
+        ok = np.flatnonzero(at < b)
+        ok = ok[child.get(at[ok]) == x[ok]]
+        out[has[ok]] = at[ok]
+        return out
+
+    def pairs(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For pairs sorted by the first word (distinct is the start of a text): shard, place (-1 if unseen), the stored log10 probability (nan if
+        unseen) and the share that the pair leaves to order two (1 if unseen)."""
+        shard = self.shard_of(one, two, self.counts_of(one))
+        place, value, left = np.full(len(one), -1, np.int64), np.full(len(one), np.nan), np.ones(len(one))
+        for s, own in _by_value(shard):
+            arrays, levels = self._levels(s)
+            if levels is None:
                 continue
-            if f"pairs-{s}/ef" not in self._open:
-                self._open[f"pairs-{s}/ef"] = EliasFano.read(arrays, "pointer"), EliasFano.read(arrays, "child")
-            pointer, child = self._open[f"pairs-{s}/ef"]
-            a, b = pointer.get(one[own]).astype(np.int64), pointer.get(one[own] + 1).astype(np.int64)
-            has = np.flatnonzero(a < b)
-            own, a, b = own[has], a[has], b[has]
-            under = np.zeros(len(own), U)
-            some = np.flatnonzero(a > 0)
-            under[some] = child.get(a[some] - 1) + U(1)
-            x = under + two[own].astype(U)
-            at = child.successor(x, a, b)
-            ok = np.flatnonzero(at < b)
-            ok = ok[child.get(at[ok]) == x[ok]]
-            out[own[ok]] = arrays["book"][arrays["code"][at[ok]]]
+            ones, at2, twos = levels[:3]
+            first = np.flatnonzero(np.concatenate(([True], one[own][1:] != one[own][:-1])))
+            kinds = one[own][first].astype(U)
+            at = ones.successor(kinds)
+            known = np.flatnonzero(at < ones.n)
+            known = known[ones.get(at[known]) == kinds[known]]
+            node = np.full(len(kinds), -1, np.int64)
+            node[known] = at[known]
+            node = np.repeat(node, np.diff(np.append(first, len(own))))
+            some = np.flatnonzero(node >= 0)
+            at = self._child(at2, twos, node[some], two[own][some])
+            hit = own[some[at >= 0]]
+            place[hit] = at[at >= 0]
+            value[hit] = arrays["book2"][arrays["code2"][place[hit]]]
+            left[hit] = arrays["book_left"][arrays["left"][place[hit]]]
+        return shard, place, value, left
+
+    def third(self, shard: np.ndarray, place: np.ndarray, three: np.ndarray) -> np.ndarray:
+        """The stored share of three after the pair at that place of a shard; 0 if unseen."""
+        out = np.zeros(len(three))
+        for s, own in _by_value(shard):
+            arrays, levels = self._levels(s)
+            if levels[4].n:
+                at = self._child(levels[3], levels[4], place[own], three[own])
+                out[own[at >= 0]] = arrays["book3"][arrays["code3"][at[at >= 0]]]
         return out
 
     def single(self, count: np.ndarray) -> np.ndarray:
         return (count + 1) / (self.total + self.distinct + 1)
 
 
-def _pairs(model: Model):
+def _by_value(shard: np.ndarray):
+    """(value, places that have it) in ascending order; places keep theirs."""
+    order = np.argsort(shard, kind="stable")
+    found = shard[order]
+    cuts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+        yield int(found[a]), order[a:b]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype(np.uint32).tobytes(), 1)
+
+
+def _grams(model: Model):
+    """Blocks of distinct pairs and triples: for each pair its count, its number of distinct followers, and these with their counts."""
+
     def run(batches):
         for t, new in _flushes(batches):
             kinds, inverse = np.unique(t, return_inverse=True)
             ids = model.look_up(kinds)[0][inverse.ravel()]
             before = np.concatenate(([0], ids[:-1]))
             before[new] = model.distinct
-            key, c = np.unique(before.astype(U) << U(32) | ids.astype(U), return_counts=True)
+            key, rank, c = np.unique(before.astype(U) << U(32) | ids.astype(U), return_inverse=True, return_counts=True)
             one, two = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
-            shard = model.shard_of(one, two)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(model.shards + 1))
+            shard = model.shard_of(one, two, model.counts_of(one))
+            later = np.flatnonzero(~new)
+            key3, c3 = np.unique(rank.ravel()[later - 1].astype(U) << U(32) | ids[later].astype(U), return_counts=True)
+            pair3, three = (key3 >> U(32)).astype(np.int64), key3 & U(0xFFFFFFFF)
+            begin = np.searchsorted(pair3, np.arange(len(key) + 1))  # triples of each pair
+            many = np.diff(begin)
             rows = []
-            for s in range(model.shards):
-                own = order[cuts[s] : cuts[s + 1]]
-                if len(own):  # ascending keys: a sequence of their own
-                    flat = one[own].astype(U) * U(model.distinct + 1) + two[own].astype(U)
-                    rows.append((s, EliasFano.of(flat, (model.distinct + 1) ** 2).dump(), zlib.compress(c[own].astype(np.uint32).tobytes(), 1)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "pairs", "counts"])
+            for s, own in _by_value(shard):  # ascending keys: a sequence of their own
+                flat = one[own].astype(U) * U(model.distinct + 1) + two[own].astype(U)
+                n = many[own]
+                at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                rows.append((s, EliasFano.of(flat, (model.distinct + 1) ** 2).dump(), _packed(c[own]), _packed(n), _packed(three[at]), _packed(c3[at])))
+            kinds = [pa.int32(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "pairs", "counts", "many", "thirds", "counts3"])
 
     return run
 
@@ -198,52 +265,56 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes.astype(np.uint8), np.bincount(codes, weights=values, minlength=256) / np.maximum(n, 1)
 
 
-def _writing_pairs(model: Model):
+def _relative(parent: np.ndarray, value: np.ndarray, parents: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(pointers of each parent, values on top of the last one of the parent before, past the last) of children sorted by (parent, value)."""
+    pointer = np.searchsorted(parent, np.arange(parents + 1))
+    if not len(value):
+        return pointer, value, 0
+    begins = pointer[:-1][pointer[1:] > pointer[:-1]]
+    sizes = np.diff(np.append(begins, len(value)))
+    top = np.cumsum(value[begins + sizes - 1] + 1)
+    return pointer, value + np.repeat(np.concatenate(([0], top[:-1])), sizes), int(top[-1])
+
+
+def _writing_trie(model: Model):
     def run(batches):
-        counts = None
         for shard, parts in _by_shard(batches):
-            flats, ns = [], []
+            flats, ns, many, thirds, ns3 = [], [], [], [], []
             for p in parts:
-                for k, c in zip(p.column(1).to_pylist(), p.column(2).to_pylist(), strict=True):
-                    flats.append(EliasFano.load(k).all())
-                    ns.append(np.frombuffer(zlib.decompress(c), np.uint32))
-            flat, n = np.concatenate(flats), np.concatenate(ns).astype(np.int64)
-            order = np.argsort(flat, kind="stable")
-            flat, n = flat[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-            flat, n = flat[first], np.add.reduceat(n, first)
+                flats += [EliasFano.load(x).all() for x in p.column(1).to_pylist()]
+                for col, to in zip(range(2, 6), (ns, many, thirds, ns3), strict=True):
+                    to += [np.frombuffer(zlib.decompress(x), np.uint32) for x in p.column(col).to_pylist()]
+            flat, rank = np.unique(np.concatenate(flats), return_inverse=True)
+            n = np.bincount(rank.ravel(), np.concatenate(ns)).astype(np.int64)
+            key3 = np.repeat(rank.ravel(), np.concatenate(many)).astype(U) << U(32) | np.concatenate(thirds).astype(U)
+            order = np.argsort(key3, kind="stable")
+            key3, n3 = key3[order], np.concatenate(ns3)[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], key3[1:] != key3[:-1]))) if len(key3) else np.zeros(0, np.int64)
+            key3, n3 = key3[first], np.add.reduceat(n3, first) if len(first) else n3
+            pair3, three = (key3 >> U(32)).astype(np.int64), (key3 & U(0xFFFFFFFF)).astype(np.int64)
             one, two = (flat // U(model.distinct + 1)).astype(np.int64), (flat % U(model.distinct + 1)).astype(np.int64)
-            if counts is None:
-                counts = [model.file(f"words-{s}")["count"] if model.base[s + 1] > model.base[s] else np.zeros(0, np.int64) for s in range(1 << model.bits)]
-            h = np.where(one == model.distinct, model.texts, _take(counts, model.base, np.minimum(one, model.distinct - 1)))
-            logs = np.log10((n + model.mu * model.single(_take(counts, model.base, two))) / (h + model.mu))
-            code, book = quantise(logs)
-            pointer = np.searchsorted(one, np.arange(model.distinct + 2))
-            # relative to the context: on top of the value before its first follower
-            begins = pointer[:-1][pointer[1:] > pointer[:-1]]
-            sizes = np.diff(np.append(begins, len(two)))
-            top = np.cumsum(two[begins + sizes - 1] + 1)
-            value = two + np.repeat(np.concatenate(([0], top[:-1])), sizes)
-            arrays = EliasFano.of(pointer, len(two) + 1).parts("pointer") | EliasFano.of(value, int(top[-1]) + 1).parts("child")
-            write_arrays(f"{model.folder}/pairs-{shard}.ef", arrays | {"code": code, "book": book})
+            logs = np.log10((n + model.mu * model.single(model.counts_of(two))) / (model.counts_of(one) + model.mu))
+            inside = np.bincount(pair3, n3, len(flat))  # how often a pair has a token after it
+            ones, node = np.unique(one, return_inverse=True)
+            at2, twos, top2 = _relative(node.ravel(), two, len(ones))
+            at3, threes, top3 = _relative(pair3, three, len(flat))
+            code2, book2 = quantise(logs)
+            left, book_left = quantise(np.log10(model.nu / (inside + model.nu)))
+            code3, book3 = quantise(np.log10(n3 / (inside[pair3] + model.nu)))
+            arrays = {"code2": code2, "book2": book2, "left": left, "book_left": 10**book_left, "code3": code3, "book3": 10**book3}
+            for name, values, top in (("one", ones, model.distinct + 1), ("at2", at2, len(two) + 1), ("two", twos, top2 + 1), ("at3", at3, len(three) + 1), ("three", threes, top3 + 1)):
+                arrays |= EliasFano.of(values, top).parts(name)
+            write_arrays(f"{model.folder}/trie-{shard}.ef", arrays)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(two)], pa.int64())], ["shard", "pairs"])
 
     return run
 
 
-def _take(counts: list[np.ndarray], base: list[int], ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), np.int64)
-    shard = np.searchsorted(base, ids, "right") - 1
-    for s in np.unique(shard).tolist():
-        own = shard == s
-        out[own] = counts[s][ids[own] - base[s]]
-    return out
-
-
-def train(docs: DataFrame, text: str = "text", mu: float = MU) -> Model:
-    """The model of all texts of docs (null: empty). Its files stay in the shared folder, which tasks must have mounted."""
+def train(docs: DataFrame, text: str = "text", mu: float = MU, nu: float = NU) -> Model:
+    """The model of all texts of docs (null: empty). Its files stay in the shared folder; where tasks haven't mounted that, each copies the
+    shards it asks to its own temporary folder first. Ids are 32 bits wide: 2^32 - 1 distinct words or more raise an error."""
     spark = docs.sparkSession
-    folder = local_path(scratch(spark, "trie"))
+    folder = scratch(spark, "trie")
     docs = docs.select(F.col(text).alias("text"))
     n = partitions(spark)
     counts = docs.mapInArrow(_counting, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -253,17 +324,17 @@ def train(docs: DataFrame, text: str = "text", mu: float = MU) -> Model:
     dealt = counts.select(shard.alias("shard"), "hash", "n").repartition(1 << bits, "shard").sortWithinPartitions("shard")
     sizes = {r.shard: r for r in materialize(dealt.mapInArrow(_writing_words(folder, bits), "shard int, words long, tokens long"), "words").collect()}  # a row per shard
     base = np.concatenate(([0], np.cumsum([sizes[s].words if s in sizes else 0 for s in range(1 << bits)]))).tolist()
-    model = Model(folder, base, sum(r.tokens for r in sizes.values()), base[-1], 0, bits, mu=mu)
+    model = Model(folder, base, sum(r.tokens for r in sizes.values()), base[-1], 0, bits, mu=mu, nu=nu)
     if not model.distinct:
         return model
-    if model.distinct >= 1 << 31:
-        raise ValueError("2^31 distinct words or more: widen the pair keys")
+    if model.distinct >= (1 << 32) - 1:
+        raise ValueError("2^32 - 1 distinct words or more: widen the ids")
     model.texts = int(model.look_up(np.array([END]))[1][0])
-    model.shards = max(n, model.total // 4_000_000)
-    pairs = docs.mapInArrow(_pairs(model), "shard int, pairs binary, counts binary").repartition(model.shards, "shard").sortWithinPartitions("shard")
-    written = {r.shard for r in materialize(pairs.mapInArrow(_writing_pairs(model), "shard int, pairs long"), "pairs").select("shard").collect()}
+    model.shards = max(n, model.total // TOKENS)
+    blocks = docs.mapInArrow(_grams(model), "shard int, pairs binary, counts binary, many binary, thirds binary, counts3 binary").repartition(model.shards, "shard").sortWithinPartitions("shard")
+    written = {r.shard for r in materialize(blocks.mapInArrow(_writing_trie(model), "shard int, pairs long"), "shards").select("shard").collect()}  # a row per shard
     for s in set(range(model.shards)) - written:
-        write_arrays(f"{folder}/pairs-{s}.ef", {"code": np.zeros(0, np.uint8)})
+        write_arrays(f"{folder}/trie-{s}.ef", {"code2": np.zeros(0, np.uint8)})
     return model
 
 
@@ -286,9 +357,26 @@ def _scoring(model: Model, names: list[str], col: int):
                 # unseen after a known word: its share of the smoothing mass; after an unknown one, p(w)
                 value = logs + np.log10(model.mu / (past + model.mu))
                 known = np.flatnonzero((ids >= 0) & (before >= 0)) if model.distinct else np.zeros(0, np.int64)
-                key, where = np.unique(before[known] << 32 | ids[known], return_inverse=True)
-                stored = model.after(key >> 32, key & 0xFFFFFFFF)[where.ravel()] if len(key) else np.zeros(0)
-                value[known] = np.where(np.isnan(stored), value[known], stored)
+                if len(known):
+                    key, where = np.unique(before[known].astype(U) << U(32) | ids[known].astype(U), return_inverse=True)
+                    shard, place, stored, left = model.pairs((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64))
+                    where = where.ravel()
+                    seen = ~np.isnan(stored[where])
+                    value[known[seen]] = stored[where[seen]]
+                    # order three, where the pair of the two tokens before was seen
+                    pair = np.full(len(ids), -1, np.int64)
+                    pair[known[seen]] = where[seen]
+                    past_pair = np.concatenate(([-1], pair[:-1]))
+                    past_pair[first[:-1]] = -1
+                    three = np.flatnonzero(past_pair >= 0)
+                    p = past_pair[three]
+                    share = np.zeros(len(three))
+                    # a triple can't have been seen if its last two tokens weren't
+                    may = np.flatnonzero(pair[three] >= 0)
+                    key3, where3 = np.unique(p[may].astype(U) << U(32) | ids[three[may]].astype(U), return_inverse=True)
+                    q = (key3 >> U(32)).astype(np.int64)
+                    share[may] = model.third(shard[q], place[q], (key3 & U(0xFFFFFFFF)).astype(np.int64))[where3.ravel()]
+                    value[three] = np.log10(share + left[p] * 10 ** value[three])
                 cols[0].append(np.diff(first))
                 cols[1].append(np.add.reduceat((counts > 0).astype(np.int64), first[:-1]))
                 cols[2].append(np.add.reduceat(logs, first[:-1]))
