@@ -23,6 +23,9 @@ def test_elias_fano_against_plain_arrays(tmp_path):
                 if n:
                     i = r.integers(0, n, 50)
                     assert (e.get(i) == v[i]).all()
+                if n > 1:
+                    i = np.sort(r.integers(0, n - 1, 50))
+                    assert all((x == y).all() for x, y in zip(e.two(i), (v[i], v[i + 1]), strict=True))
                 x = np.concatenate((r.integers(0, u, 50, dtype=np.uint64), v[:50]))
                 assert (e.successor(x) == np.searchsorted(v, x)).all()
                 a = r.integers(0, n + 1, len(x))

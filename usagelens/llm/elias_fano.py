@@ -70,6 +70,22 @@ class EliasFano:
         place = self._select(self.high[word], i - self.ones[word]) + (word << 6)
         return ((place - i).astype(U) << U(self.width)) | self._low(i)
 
+    def two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1, with one search for both: the next set bit mostly stands in the same word."""
+        word = np.searchsorted(self.ones, i, "right") - 1
+        bits, r = self.high[word], i - self.ones[word]
+        spot = self._select(bits, r)
+        place = spot + (word << 6)
+        rest = bits & ~((U(2) << spot.astype(U)) - U(1))
+        low = rest & (~rest + U(1))
+        after = np.bitwise_count(low - U(1)).astype(np.int64) + (word << 6)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            j = i[far] + 1
+            w = np.searchsorted(self.ones, j, "right") - 1
+            after[far] = self._select(self.high[w], j - self.ones[w]) + (w << 6)
+        return ((place - i).astype(U) << U(self.width)) | self._low(i), ((after - i - 1).astype(U) << U(self.width)) | self._low(i + 1)
+
     def all(self) -> np.ndarray:
         bits = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
         i = np.arange(self.n)
@@ -177,6 +193,7 @@ def open_arrays(path: str) -> dict[str, np.ndarray]:
             shutil.copyfileobj(f, copy)
             copy.flush()
             raw = np.memmap(copy.name, np.uint8, "r")
+    raw = np.asarray(raw)  # a plain view of the mapped bytes: results of it are plain arrays
     size = int(raw[:8].view(np.int64)[0])
     head = json.loads(raw[8 : 8 + size].tobytes())
     return {k: raw[8 + size + at : 8 + size + at + np.dtype(kind).itemsize * n].view(kind) for k, (kind, n, at) in head.items()}

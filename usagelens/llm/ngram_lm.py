@@ -161,18 +161,27 @@ class Model:
     @staticmethod
     def _child(pointer: EliasFano, child: EliasFano, node: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The place of value among the children of each node; -1 where it is none."""
-        a, b = pointer.get(node).astype(np.int64), pointer.get(node + 1).astype(np.int64)
+        a, b = (x.astype(np.int64) for x in pointer.two(node))
         out = np.full(len(node), -1, np.int64)
         has = np.flatnonzero(a < b)
-        a, b = a[has], b[has]
-        under = np.zeros(len(has), U)
+        a, b, value = a[has], b[has], value[has].astype(U)
+        # the last value of the node before, and the first one of this node
+        under, least = np.zeros(len(has), U), np.zeros(len(has), U)
         some = np.flatnonzero(a > 0)
-        under[some] = child.get(a[some] - 1) + U(1)
-        x = under + value[has].astype(U)
-        at = child.successor(x, a, b)
-        ok = np.flatnonzero(at < b)
-        ok = ok[child.get(at[ok]) == x[ok]]
-        out[has[ok]] = at[ok]
+        under[some], least[some] = child.two(a[some] - 1)
+        under[some] += U(1)
+        start = np.flatnonzero(a == 0)
+        least[start] = child.get(a[start])
+        x = under + value
+        hit = least == x
+        out[has[hit]] = a[hit]
+        more = np.flatnonzero((least < x) & (b - a > 1))
+        if len(more):
+            x, a, b = x[more], a[more] + 1, b[more]
+            at = child.successor(x, a, b)
+            ok = np.flatnonzero(at < b)
+            ok = ok[child.get(at[ok]) == x[ok]]
+            out[has[more[ok]]] = at[ok]
         return out
 
     def pairs(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
