@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from usagelens.llm.anisotropic import Quantiser, nearest
 from usagelens.llm.cover_tree import CoverTree, dual, linked_vectors, unit
@@ -39,10 +40,12 @@ def test_cover_tree_invariants_and_dual_traversal():
     assert (a == cross.sum(axis=1)).all() and (b == cross.sum(axis=0)).all()
 
 
-def test_links_and_components_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("block", "groups"), [(100, 6), (30, 4)])
+def test_links_and_components_against_brute_force(spark, monkeypatch, block, groups):
     from usagelens.llm import cover_tree
 
-    monkeypatch.setattr(cover_tree, "BLOCK", 100)
+    monkeypatch.setattr(cover_tree, "BLOCK", block)
+    monkeypatch.setattr(cover_tree, "GROUPS", groups)
     x = vectors()
     linked = links_of(x)
     reach = linked | np.eye(len(x), dtype=bool)
@@ -57,6 +60,9 @@ def test_links_and_components_against_brute_force(spark, monkeypatch):
         assert got[i].component_id == reach[i].argmax() and got[i].kept == (got[i].component_id == i)
     assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k in [*range(1000, 1006), 2000])
     assert got[None].component_id == got[3].component_id and not got[None].kept
+    # a table of two lengths: each is compared with its own
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in linked_vectors(two).collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert linked_vectors(empty).count() == 0
 
@@ -80,6 +86,10 @@ def test_search_recall_and_exact_scores(spark):
     few = nearest(rows.where("vec_id < 5"), rows.where("vec_id = 0"))
     assert few.count() == 4
     assert nearest(rows.limit(0), rows).count() == 0
+    assert nearest(rows, rows.limit(0)).count() == 0
+    odd = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, [3.0, 4.0, 5.0]), (6, [1.0, 1.0, 1.0]), (7, [0.5, 0.5])]
+    two = spark.createDataFrame([(i, v, "x") for i, v in odd], "vec_id long, embedding array<double>, score string")
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(two, two).collect()) == [(1, 1, 7, 0.5), (5, 1, 6, 12.0), (6, 1, 5, 12.0), (7, 1, 1, 0.5), (7, 2, 1, 0.5)]
 
 
 def test_fit_lowers_the_weighted_loss():

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import materialize, scratch
-from .vectors import common_size, matrix, usable
+from .vectors import lengths, matrix, usable
 
 #: Bounds: vectors that the centres are fitted on, queries of one pass, vectors of one scan, candidates ranked
 #: exactly for each query and scan.
@@ -163,24 +163,32 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
     the smaller vec_id; all rows if there are fewer. score is the product of the original vectors in double precision.
 
     A row isn't its own candidate: rows with the query's vec_id are left out. Rows without vec_id, vectors that are
-    null, zero or hold null or non-finite components, and those of another length than the most common one take no part;
-    of queries with one vec_id the smallest vector counts. Every row is indexed. Queries go in passes of about QUERIES.
+    null, zero or hold null or non-finite components take no part; vectors of different lengths aren't compared.
+    Of queries with one vec_id the smallest vector counts. Every row is indexed. Queries go in passes of about QUERIES.
+    Other columns are left out.
     """
     spark = rows.sparkSession
 
     def valid(df):
         return df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
 
-    base = valid(rows)
-    size = common_size(base, "embedding")
+    base, asked = valid(rows), valid(queries)
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size in lengths(base, "embedding"):
+        of = F.size("embedding") == size
+        empty = empty.unionByName(_nearest(base.where(of), asked.where(of), size, k))
+    return empty
+
+
+def _nearest(base: DataFrame, asked: DataFrame, size: int, k: int) -> DataFrame:
+    """nearest for valid vectors of one length."""
+    spark = base.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not size:
-        return empty
-    base = base.where(F.size("embedding") == size)
     sample = base.select("embedding", F.xxhash64("vec_id", F.lit(5)).alias("at"), "vec_id").orderBy("at", "vec_id").limit(SAMPLE).select("embedding").collect()
     q = Quantiser(size).fit(np.array([r[0] for r in sample], np.float64))
     index = materialize(base.mapInArrow(_coding(q), "vec_id long, embedding array<double>, code binary"), "codes")
-    asked = materialize(valid(queries).where(F.size("embedding") == size).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    asked = materialize(asked, "queries")
     n = asked.count()
     if not n:
         return empty

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,16 +16,25 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, local mode) a temporary folder is made and used instead.
+    Only where it is unset and the master is local (tests) a temporary folder is made, which goes when Python ends; a cluster raises.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_usagelens_dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="usagelens-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.sparkContext._usagelens_dir = where
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes everything that operators have written below the shared folder. Results that read it must have been written or gathered before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/usagelens")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/usagelens/{name}-{uuid.uuid4().hex}"
@@ -38,15 +49,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_path(uri: str) -> str:
-    """A mountable path of a file: URI (or plain path); other stores raise ValueError."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    if "://" in uri:
-        raise ValueError(f"{uri} isn't a mounted folder")
-    return uri
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -2,15 +2,14 @@
 
 Equal vectors form one class. The classes are dealt to the cells of a bounded sample of pivots, cells to blocks of
 about BLOCK vectors, and each block becomes a cover tree: nested levels of halving radii, each node covering its members.
-Pairs of blocks whose covering radii let them hold a link are traversed together: a pair of nodes is dropped if its
+Blocks travel in groups: a task gets two groups whose cells' covering radii let them hold a link and traverses all their
+pairs of trees, so a block is sent once per group and not once per block. A pair of nodes is dropped if its
 centres are too far apart for any link, counted whole if all its pairs must be links, and opened otherwise.
 Chord length stands for the cosine: cosine >= c exactly if the unit vectors are at most sqrt(2 - 2 c) apart.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .base import materialize, partitions
 from .graph import components
-from .vectors import common_size, matrix, usable
+from .vectors import lengths, matrix, usable
 
 BLOCK, MOST_CELLS, SURE = 4096, 1024, 1e-9
+#: Blocks of a group at most, and groups that are wanted at least.
+GROUP, GROUPS = 16, 6
 #: The radius of the first level. Wider levels part nothing that links need, and their nodes would stay in reach of half of all others.
 TOP = 0.5
 
@@ -57,6 +58,14 @@ class CoverTree:
                 at += len(g)
             self.nodes[k][4:] = first, len(self.nodes)
 
+    @classmethod
+    def of(cls, x: np.ndarray, order: np.ndarray, nodes: np.ndarray) -> CoverTree:
+        """The tree of these rows that was built elsewhere."""
+        tree = cls.__new__(cls)
+        tree.x, tree.order = x, order
+        tree.nodes = [[int(c), int(a), int(b), float(r), int(f), int(g)] for c, a, b, r, f, g in nodes]
+        return tree
+
     def _radius(self, centre: int, rows: np.ndarray) -> float:
         d = self.x[rows] - self.x[centre]
         return float(np.sqrt(np.einsum("ij,ij->i", d, d).max()))
@@ -174,82 +183,120 @@ def _dealing(pivots: np.ndarray, size: int):
     return run
 
 
-def _building(size: int):
+TREE = ["raw", "order", "nodes", "copies", "ids"]
+
+
+def _building(size: int, kind: str):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        x = unit(matrix(table["embedding"].chunk(0) if table["embedding"].num_chunks else table["embedding"].combine_chunks(), size))
-        tree = CoverTree(x)
-        blob = pickle.dumps((tree, np.array(table["copies"]), table["cid"].to_pylist()), protocol=5)
-        return pa.table({"cell": pa.array([table["cell"][0].as_py()], pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()], pa.int64()), "tree": pa.array([blob], pa.binary())})
+        column = table["embedding"].combine_chunks()
+        tree = CoverTree(unit(matrix(column, size)))
+        raw = column.flatten().to_numpy(zero_copy_only=False).astype(kind)  # as given: narrower than unit vectors, which come out the same again
+        parts = [raw.tobytes(), tree.order.astype(np.int32).tobytes(), np.array(tree.nodes, np.float64).tobytes(), table["copies"].to_numpy().astype(np.int64).tobytes(), b"".join(table["cid"].to_pylist())]
+        return pa.table({"team": pa.array([table["team"][0].as_py()], pa.int32())} | {n: pa.array([p], pa.binary()) for n, p in zip(TREE, parts, strict=True)})
 
     return run
 
 
-def _traversing(most: float):
+def _opened(row: tuple, size: int, kind: str):
+    raw, order, nodes, copies, ids = row
+    x = unit(np.frombuffer(raw, kind).astype(np.float64).reshape(-1, size))
+    ids = [ids[i : i + 16] for i in range(0, len(ids), 16)]
+    return CoverTree.of(x, np.frombuffer(order, np.int32).astype(np.int64), np.frombuffer(nodes, np.float64).reshape(-1, 6)), np.frombuffer(copies, np.int64), ids
+
+
+def _traversing(most: float, size: int, kind: str):
+    """Rows (pair, right, tree) sorted by pair and side to what their trees link: (cid, links, other)."""
+
+    def meet(left: list, right: list | None):
+        for i, (s, ws, ids) in enumerate(left):
+            for j, (t, wt, jds) in enumerate(left[i:] if right is None else right):
+                same = right is None and j == 0
+                a, b, links = dual(s, t, most, ws, wt, same)
+                out = [(ids[k], int(a[k]), None) for k in np.flatnonzero(a)]
+                if not same:
+                    out += [(jds[k], int(b[k]), None) for k in np.flatnonzero(b)]
+                out += [(ids[k], 0, jds[m]) for k, m in links if ids[k] != jds[m]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["cid", "links", "other"])
+
     def run(batches):
+        key, sides = None, ([], [])
         for batch in batches:
             for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py()
-                s, ws, ids = pickle.loads(batch.column(1)[k].as_py())
-                t, wt, jds = (s, ws, ids) if same else pickle.loads(batch.column(2)[k].as_py())
-                a, b, links = dual(s, t, most, ws, wt, same)
-                out = [(ids[i], int(a[i]), None) for i in np.flatnonzero(a)]
-                if not same:
-                    out += [(jds[j], int(b[j]), None) for j in np.flatnonzero(b)]
-                out += [(ids[i], 0, jds[j]) for i, j in links if ids[i] != jds[j]]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["cid", "links", "other"])
+                pair, side, same = (batch.column(c)[k].as_py() for c in range(3))
+                if pair != key and key is not None:
+                    yield from meet(sides[0], None if alone else sides[1])
+                    sides = ([], [])
+                key, alone = pair, same
+                sides[side].append(_opened(tuple(batch.column(c)[k].as_py() for c in range(3, 8)), size, kind))
+        if key is not None:
+            yield from meet(sides[0], None if alone else sides[1])
 
     return run
 
 
 def linked_vectors(rows: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row.
+    """(vec_id, n_links, component_id, kept) of every row; other columns are left out.
 
     Links: cosine of least or more, in double precision; n_links counts other rows. Vectors that are null, zero or hold null or
-    non-finite components, and those of another length than the most common one, link with nothing. component_id is the
+    non-finite components link with nothing, and vectors of different lengths not with each other. component_id is the
     smallest vec_id reachable, the own one included (null only if all are null); kept: vec_id equals it.
     """
-    spark = rows.sparkSession
     rows = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding"))
-    good = rows.where(usable(F.col("embedding")))
-    size = common_size(good, "embedding")
-    cid = F.when(usable(F.col("embedding")) & (F.size("embedding") == size), F.unhex(F.md5(F.col("embedding").cast("string").cast("binary"))))
-    rows = rows.withColumn("cid", cid)
-    classes = rows.where("cid is not null").groupBy("cid", "embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    ok = usable(F.col("embedding"))
+    out = rows.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for size in lengths(rows.where(ok), "embedding"):
+        out = out.unionByName(_linked(rows.where(ok & (F.size("embedding") == size)), size, least))
+    return out
+
+
+def _linked(rows: DataFrame, size: int, least: float) -> DataFrame:
+    """linked_vectors of usable vectors of one length."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("cid", F.unhex(F.md5(F.col("embedding").cast("string").cast("binary"))))
+    classes = rows.groupBy("cid", "embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "vectors")
     n = classes.count()
     pivots = classes.orderBy("cid").limit(max(1, min(MOST_CELLS, n // BLOCK))).select("embedding").collect()
-    if not n:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     pivots = unit(np.array([p[0] for p in pivots], np.float64))
     kind = classes.schema["embedding"].dataType.simpleString()
     dealt = classes.select("cid", "embedding", "copies").mapInArrow(_dealing(pivots, size), f"cid binary, embedding {kind}, copies long, cell int, far double")
     dealt = materialize(dealt, "cells")
     cells = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # at most MOST_CELLS rows
-    chunks = F.create_map(*[x for c in cells for x in (F.lit(c.cell), F.lit(-(-c.n // BLOCK)))])
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks[F.col("cell")]))
-    trees = dealt.select("cid", "embedding", "copies", "cell", "chunk").groupBy("cell", "chunk").applyInArrow(_building(size), "cell int, chunk long, tree binary")
+    parts = {c.cell: -(-c.n // BLOCK) for c in cells}
+    offset = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist(), strict=False))
+    group = max(1, min(GROUP, sum(parts.values()) // GROUPS))
+    of = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])[F.col("cell")]
+    block = of(offset) + F.pmod(F.xxhash64("cid"), of(parts))
+    dealt = dealt.select("cid", "embedding", "copies", block.alias("block"), F.expr(f"cast(floor(block / {group}) as int)").alias("team"))
+    kind = "float32" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "float64"
+    trees = dealt.groupBy("block").applyInArrow(_building(size, kind), ", ".join(["team int", *(f"{n} binary" for n in TREE)]))
     trees = materialize(trees, "trees")
     most = float(np.sqrt(2 - 2 * least))
-    reach = {c.cell: c.far for c in cells}
-    near = [(i, j) for i in reach for j in reach if i <= j and np.linalg.norm(pivots[i] - pivots[j]) <= reach[i] + reach[j] + most + SURE]
-    blocks = trees.select("cell", "chunk")
-    one, two = (blocks.select(F.col("cell").alias(f"cell_{x}"), F.col("chunk").alias(f"chunk_{x}")) for x in "ij")
-    pairs = spark.createDataFrame(near, "cell_i int, cell_j int").join(one, "cell_i").join(two, "cell_j").where("cell_i < cell_j or chunk_i <= chunk_j")
-    pairs = pairs.repartition(partitions(spark), "cell_i", "chunk_i", "cell_j", "chunk_j")
-    left, right = (trees.select(F.col("cell").alias(f"cell_{x}"), F.col("chunk").alias(f"chunk_{x}"), F.col("tree").alias(f"tree_{x}")) for x in "ij")
-    both = pairs.join(left, ["cell_i", "chunk_i"]).join(right, ["cell_j", "chunk_j"])
-    both = both.select((F.expr("cell_i = cell_j and chunk_i = chunk_j")).alias("same"), "tree_i", "tree_j")
-    both = both.repartition(partitions(spark), F.xxhash64("tree_i", "tree_j"))
-    found = materialize(both.mapInArrow(_traversing(most), "cid binary, links long, other binary"), "found")
+    # groups (teams) of which two cells may hold a link
+    known = sorted(parts)
+    far = np.array([c.far for c in sorted(cells, key=lambda c: c.cell)])
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots[known] @ pivots[known].T))
+    near = np.argwhere(apart <= far[:, None] + far[None, :] + most + 2e-8)  # at most MOST_CELLS a side; a root of rounding noise is 1.5e-8
+    teams = [(c, t) for c in known for t in range(offset[c] // group, (offset[c] + parts[c] - 1) // group + 1)]
+    near = spark.createDataFrame([(known[i], known[j]) for i, j in near.tolist() if i <= j], "i int, j int")
+    teams = spark.createDataFrame(teams, "cell int, team int")
+    reached = near.join(teams.select(F.col("cell").alias("i"), F.col("team").alias("t")), "i").join(teams.select(F.col("cell").alias("j"), F.col("team").alias("u")), "j")
+    reached = reached.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct().withColumn("pair", F.col("a").cast("long") * (1 << 31) + F.col("b"))
+    reached = materialize(reached, "pairs")
+    # each group's trees to each of its pairs
+    sides = reached.select("pair", F.lit(0).alias("side"), (F.col("a") == F.col("b")).alias("same"), F.col("a").alias("team")).union(reached.where("a < b").select("pair", F.lit(1), F.lit(False), F.col("b")))
+    both = trees.join(sides, "team").select("pair", "side", "same", *TREE)
+    both = both.repartition(max(partitions(spark), min(reached.count(), 10_000)), "pair").sortWithinPartitions("pair", "side")
+    found = materialize(both.mapInArrow(_traversing(most, size, kind), "cid binary, links long, other binary"), "found")
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     labels = components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     ids = classes.select("cid", "least_id", "copies").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     lowest = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
     per = ids.join(lowest, "component").join(counts, "cid", "left").select("cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("vec_id", "cid").join(per, "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    out = rows.select("vec_id", "cid").join(per, "cid")
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def common_size(df: DataFrame, vector: str) -> int:
-    """The most frequent length of the vectors; 0 without rows, the smaller of equally frequent ones."""
-    top = df.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    return top[0][0] if top else 0
+def lengths(df: DataFrame, vector: str) -> list[int]:
+    """The different lengths of the vectors, ascending: a handful, as each stands for a model that made them."""
+    return sorted(r[0] for r in df.select(F.size(vector)).distinct().collect())
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
