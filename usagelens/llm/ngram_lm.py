@@ -31,7 +31,7 @@ LEAST_BITS, SHARD = 4, 1 << 20
 #: Training tokens of a trie shard; a first word with more is dealt out by its follower.
 TOKENS = 4_000_000
 #: The hash that stands for the end of a text; tokens of one flush; bytes of one scoring piece.
-END, FLUSH, PIECE = np.uint64(0x5DEECE66D1A2B3C5), 3_000_000, 4 << 20
+END, FLUSH, PIECE = np.uint64(0x5DEECE66D1A2B3C5), 2_000_000, 4 << 20
 U = np.uint64
 
 
