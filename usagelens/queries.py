@@ -178,17 +178,29 @@ def _lists(t):
     return of(17), of(29)
 
 
-NEVER = JUDGED + GUARDS + WITHHELD + """, cand AS (SELECT m.*, CASE WHEN unread_ord > 0 THEN 'UNREAD' WHEN routine_ord > 0 THEN 'ROUTINE' ELSE 'PLAIN' END AS bucket FROM merged m LEFT JOIN finding f USING (class_name)
-  WHERE hits <= 0 AND kind <> 'OPTIONAL_ARGUMENT' AND NOT inline AND generated_ord = 0 AND class_name NOT IN (SELECT class_name FROM wh) AND (kind <> 'METHOD' OR (method_name <> '<clinit>' AND (method_name <> '<init>' OR coalesce(constructed, false))))),
+NEVER = JUDGED + GUARDS + WITHHELD + """, found AS (SELECT class_name, CASE WHEN class_name NOT IN (SELECT class_name FROM wh) THEN finding END AS finding, constructed FROM finding),
+cv AS (SELECT class_name, method_name, method_descriptor FROM judged JOIN found USING (class_name) WHERE hits = 0 AND found.finding IS NOT NULL AND (found.finding = 'NEVER_INITIALIZED' OR method_name = '<init>' OR (method_name <> '<clinit>' AND NOT static))),
+gone AS (SELECT * FROM cv UNION SELECT l.class_name, l.method_name, l.method_descriptor FROM judged l JOIN judged cr ON cr.class_name = l.class_name AND cr.method_name = 'm' || substr(l.method_name, 7) || '_0' AND cr.hits = 0 WHERE l.lambda_body AND l.hits = 0 AND l.class_name NOT IN (SELECT class_name FROM wh)), cand AS (SELECT m.*, CASE WHEN unread_ord > 0 THEN 'UNREAD' WHEN routine_ord > 0 THEN 'ROUTINE' ELSE 'PLAIN' END AS bucket FROM merged m LEFT JOIN finding f USING (class_name)
+  WHERE hits <= 0 AND kind <> 'OPTIONAL_ARGUMENT' AND NOT inline AND generated_ord = 0 AND class_name NOT IN (SELECT class_name FROM wh) AND (class_name, method_name, method_descriptor) NOT IN (SELECT class_name, method_name, method_descriptor FROM gone) AND (kind <> 'METHOD' OR (method_name <> '<clinit>' AND (method_name <> '<init>' OR coalesce(constructed, false))))),
 nh AS (SELECT class_name, method_name, method_descriptor, kind, outcome, line, bucket FROM cand c WHERE kind <> 'BRANCH' OR (NOT EXISTS (SELECT 1 FROM judged m WHERE m.hits <= 0 AND m.class_name = c.class_name AND m.method_name = c.method_name AND m.method_descriptor = c.method_descriptor)
   AND NOT EXISTS (SELECT 1 FROM gd JOIN cand o ON o.kind = 'BRANCH' AND o.routine_ord = 0 AND o.unread_ord = 0 AND o.class_name = gd.class_name AND o.method_name = gd.method_name AND o.method_descriptor = gd.method_descriptor AND o.outcome = gd.guard
     WHERE gd.class_name = c.class_name AND gd.method_name = c.method_name AND gd.method_descriptor = c.method_descriptor AND gd.outcome = c.outcome)))"""
 NEVER_COLUMNS = ["class_name", "method_name", "method_descriptor", "kind", "outcome", "line", "bucket"]
 
 
+def _creates(m):
+    """Each class's methods ``m<g>_0`` create its ``lambda<g>``."""
+    methods = m.where("kind = 'METHOD' and method_name like 'm%'").select(*M.METHOD)
+    made = m.where("lambda_body and kind = 'METHOD'").select("class_name", F.col("class_name").alias("c_class"), F.col("method_name").alias("c_name"), F.col("method_descriptor").alias("c_desc"))
+    return methods.join(made, "class_name").where(F.substring_index("method_name", "_", -1) == "0").where(F.substring_index(F.expr("substring(method_name, 2)"), "_", 1) == F.expr("substring(c_name, 7)"))
+
+
 def _never(t):
-    m = _merged(t)
-    return Q.never_hit(m, Q.class_findings(m), M.withheld_classes(*_lists(t)), guards=M.site_guards(t("probe"), t("site"))).select(*NEVER_COLUMNS)
+    m, withheld = _merged(t), M.withheld_classes(*_lists(t))
+    f = C.checkpointing(Q.class_findings(m, withheld))
+    covered = Q.covered_methods(m, f)
+    folded = Q.folded_lambdas(m, _creates(m), f, covered, withheld).select(*M.METHOD).unionByName(covered).distinct()
+    return Q.never_hit(m, f, withheld, folded, M.site_guards(t("probe"), t("site"))).select(*NEVER_COLUMNS)
 
 
 @query("q09_never_hit_rows", NEVER + " SELECT * FROM nh", PROBES)
@@ -1181,9 +1193,7 @@ WHERE l.lambda_body AND l.hits = 0 AND l.class_name NOT LIKE '%3' AND NOT EXISTS
 def _(t):
     m = _merged(t)
     f = C.checkpointing(Q.class_findings(m))
-    methods = m.where("kind = 'METHOD' and method_name like 'm%'").select(*M.METHOD)
-    made = m.where("lambda_body and kind = 'METHOD'").select("class_name", F.col("class_name").alias("c_class"), F.col("method_name").alias("c_name"), F.col("method_descriptor").alias("c_desc"))
-    creates = methods.join(made, "class_name").where(F.substring_index("method_name", "_", -1) == "0").where(F.substring_index(F.expr("substring(method_name, 2)"), "_", 1) == F.expr("substring(c_name, 7)"))
+    creates = _creates(m)
     withheld = m.where("class_name like '%3'").select("class_name")
     return Q.folded_lambdas(m, creates, f, Q.covered_methods(m, f), withheld)
 
@@ -1237,3 +1247,6 @@ def _(t):
     calls = keep(K.call_graph(keep(edges), none, known, node, through, withheld=withheld))
     outcomes = keep(K.outcome_nodes(m, node, M.site_guards(t("probe"), t("site")), withheld))
     return K.unreached_clusters(node, calls, outcomes, f, Q.covered_methods(m, f), withheld=withheld, failed=gaps, possible=K.possibly_run(m, node, withheld))
+
+
+from . import ingest_queries  # noqa: E402, F401  registers its queries too
