@@ -100,8 +100,8 @@ class Network:
             x = data[np.minimum(first[k] + t, len(data) - 1)]
             full = int(length.min()) == len(x)
             mask = None if full else (t < length).astype(np.float32)
-            both = np.concatenate([self._run(x, mask, d, None) for d in "fb"], axis=2)
-            logits = both @ self.p["V"] + self.p["c"]
+            logits = self._run(x, mask, "f", None) @ self.p["V"][: self.hidden] + self.p["c"]
+            logits += self._run(x, mask, "b", None) @ self.p["V"][self.hidden :]
             logits -= logits.max(axis=2, keepdims=True)
             e = np.exp(logits, out=logits)
             e /= e.sum(axis=2, keepdims=True)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .base import materialize, mix, partitions, powers, utf8
 
 LENGTH = 200
-STEP, FLUSH = 1 << 19, 1_500_000
+STEP, FLUSH = 1 << 19, 300_000
 SECOND = 0xC2B2AE3D27D4EB4F
 #: An anchor with about this many runs at least, or this share of all, is dealt out by window: a million anchors at most, 8 MB. One run in
 #: SAMPLE is counted.
