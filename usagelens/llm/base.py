@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -166,5 +167,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(starts, offsets)
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: workers live on after a task, and what they keep is lost to the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run):
+    """run, a function from batches to batches, giving memory back after each batch that it gives and at its end."""
+
+    def go(batches):
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                _release()
+        finally:
+            _release()
+
+    return go
+
+
 def count_of(rows: DataFrame) -> int:
     return rows.agg(F.count(F.lit(1))).first()[0]

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import utf8
+from .base import released, utf8
 
 SPAN, WARM = 224, 16
 #: Characters of a training window, and rows that the network works on at a time.
-WINDOW, ROWS = 64, 2048
+WINDOW, ROWS = 64, 1024
 #: Steps in which a share of the rows is drawn: fine enough for 10^12 rows of a language.
 SHARES = 10**15
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -234,7 +234,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
     docs = docs.drop("lang_pred", "score")
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c != text], text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predicting(net, text), f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(released(_predicting(net, text)), f"{schema}, lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import PIECE, materialize, mix, partitions, pieces, utf8, words
+from .base import PIECE, materialize, mix, partitions, pieces, released, utf8, words
 from .graph import components
 
 BANDS, ROWS = 25, 5
@@ -145,7 +145,9 @@ def _blocks(batches):
     """(key, rows) of whole blocks from batches whose first column, the key, comes sorted."""
     last, held = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        # lists of numbers, all of one length, as rows of an array: a fraction of what lists of objects take
+        columns = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) if pa.types.is_list(c.type) and len(c) else c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
             if held and row[0] != last:
                 yield last, held
                 held = []
@@ -259,7 +261,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, key: st
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = materialize(rows.mapInArrow(_signing(width), f"doc_id {kind}, digest long, n_shingles long, cid binary, bands array<long>, sketch array<long>"), "signed")
+    signed = materialize(rows.mapInArrow(released(_signing(width)), f"doc_id {kind}, digest long, n_shingles long, cid binary, bands array<long>, sketch array<long>"), "signed")
     classes = signed.where("cid is not null").groupBy("cid").agg(
         F.min(F.struct("doc_id", "digest")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")
     )
@@ -290,12 +292,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, key: st
     sides = open_.where("component <> main").withColumn("left", F.lit(True)).unionByName(open_.withColumn("left", F.lit(False))).drop("main")
     n = partitions(docs.sparkSession)
     meeting = _dealt(sides.join(traits, "cid"), n).select("key", "left", "cid", "component", "sketch", "bands", "size")
-    active = materialize(meeting.mapInArrow(_meeting(least), "bucket long, left boolean, cid binary").distinct(), "active")
+    active = materialize(meeting.mapInArrow(released(_meeting(least)), "bucket long, left boolean, cid binary").distinct(), "active")
     sets = _fetch(docs, classes, active.select("cid"), width, key, text)
     full = active.join(traits, "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     # sets travel only once the rows are dealt out
     judged = _dealt(full.join(sets, "cid"), n, heavy=True).select("key", "left", "cid", "component", "sketch", "bands", "size", "members")
-    links = links.union(materialize(judged.mapInArrow(_linking(least), "a binary, b binary"), "links"))
+    links = links.union(materialize(judged.mapInArrow(released(_linking(least)), "a binary, b binary"), "links"))
     labels = components(links)
 
     ids = classes.select("cid", "least_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -312,7 +314,7 @@ def _fetch(docs: DataFrame, classes: DataFrame, used: DataFrame, width: int, key
     rows = docs.select(F.xxhash64(F.col(key), F.xxhash64(F.col(text))).alias("at"), F.col(text).alias("text"))
     # each class's smallest (doc_id, digest) row; equal rows give equal sets
     found = rows.join(wanted.hint("shuffle_hash"), "at").select("cid", "text")
-    return materialize(found.mapInArrow(_sets(width), "cid binary, members binary").dropDuplicates(["cid"]), "sets")
+    return materialize(found.mapInArrow(released(_sets(width)), "cid binary, members binary").dropDuplicates(["cid"]), "sets")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: float, key: str, text: str) -> DataFrame:
@@ -320,7 +322,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, l
     sets = _fetch(docs, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))), width, key, text)
     one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
     two = one.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    return materialize(two.mapInArrow(_verifying(least), "a binary, b binary"), "links")
+    return materialize(two.mapInArrow(released(_verifying(least)), "a binary, b binary"), "links")
 
 
 def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

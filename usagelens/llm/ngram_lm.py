@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialize, mix, partitions, pieces, scratch, utf8, words
+from .base import materialize, mix, partitions, pieces, released, scratch, utf8, words
 from .elias_fano import EliasFano, open_arrays, write_arrays
 
 MU, NU = 500.0, 5.0
@@ -326,7 +326,7 @@ def train(docs: DataFrame, text: str = "text", mu: float = MU, nu: float = NU) -
     folder = scratch(spark, "trie")
     docs = docs.select(F.col(text).alias("text"))
     n = partitions(spark)
-    counts = docs.mapInArrow(_counting, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(released(_counting), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "counts")
     bits = max(LEAST_BITS, (counts.count() // SHARD).bit_length())
     shard = F.shiftrightunsigned("hash", 64 - bits).cast("int")
@@ -340,8 +340,8 @@ def train(docs: DataFrame, text: str = "text", mu: float = MU, nu: float = NU) -
         raise ValueError("2^32 - 1 distinct words or more: widen the ids")
     model.texts = int(model.look_up(np.array([END]))[1][0])
     model.shards = max(n, model.total // TOKENS)
-    blocks = docs.mapInArrow(_grams(model), "shard int, pairs binary, counts binary, many binary, thirds binary, counts3 binary").repartition(model.shards, "shard").sortWithinPartitions("shard")
-    written = {r.shard for r in materialize(blocks.mapInArrow(_writing_trie(model), "shard int, pairs long"), "shards").select("shard").collect()}  # a row per shard
+    blocks = docs.mapInArrow(released(_grams(model)), "shard int, pairs binary, counts binary, many binary, thirds binary, counts3 binary").repartition(model.shards, "shard").sortWithinPartitions("shard")
+    written = {r.shard for r in materialize(blocks.mapInArrow(released(_writing_trie(model)), "shard int, pairs long"), "shards").select("shard").collect()}  # a row per shard
     for s in set(range(model.shards)) - written:
         write_arrays(f"{folder}/trie-{s}.ef", {"code2": np.zeros(0, np.uint8)})
     return model
@@ -409,7 +409,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.drop(*[c for c in new if c != text])
     rest = [f for f in docs.schema if f.name != text]
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double"])
-    return docs.mapInArrow(_scoring(model, [*(f.name for f in rest), *new], docs.columns.index(text)), kinds)
+    return docs.mapInArrow(released(_scoring(model, [*(f.name for f in rest), *new], docs.columns.index(text))), kinds)
 
 
 def held_out(key: str = "doc_id") -> Column:

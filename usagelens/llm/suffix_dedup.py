@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialize, mix, partitions, powers, utf8
+from .base import materialize, mix, partitions, powers, released, utf8
 
 LENGTH = 200
 STEP, FLUSH = 1 << 19, 300_000
@@ -437,19 +437,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     """
     spark = docs.sparkSession
     texts = docs.where(F.octet_length(F.col(text)) >= length).select(F.xxhash64(F.col(text)).alias("d"), F.xxhash64(F.lit(SEED), F.col(text)).alias("n"), F.col(text).alias("text"))
-    heavy = texts.mapInArrow(_heavy(length), "key long, runs long").groupBy("key").agg(F.sum("runs").alias("runs"))
+    heavy = texts.mapInArrow(released(_heavy(length)), "key long, runs long").groupBy("key").agg(F.sum("runs").alias("runs"))
     heavy = materialize(heavy, "heavy")
     total = heavy.where("key is null").agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]
     least = max(HOT, int(total * HOT_SHARE)) // (2 * SAMPLE)  # half of what is expected: a hot anchor is missed with probability 10^-5 at HOT, none at twice that
     hot = np.array([r[0] for r in heavy.where(f"key is not null and runs >= {least}").select("key").collect()], np.int64)  # at most 2 / HOT_SHARE keys
-    sent = texts.mapInArrow(_sending(length, hot), ROW_SCHEMA)
+    sent = texts.mapInArrow(released(_sending(length, hot)), ROW_SCHEMA)
     sent = sent.repartition(partitions(spark), "key").sortWithinPartitions("key", "sub")
-    judged = materialize(sent.mapInArrow(_judging, "d long, n long, ws int, k int, key long, need boolean"), "judged")
+    judged = materialize(sent.mapInArrow(released(_judging), "d long, n long, ws int, k int, key long, need boolean"), "judged")
     asks = judged.where("need is not null").groupBy("d", "n").agg(F.collect_list(F.struct("key", "ws", "k", "need")).alias("asks"))
     whole = texts.groupBy("d", "n").agg(F.first("text").alias("text"))
-    contexts = asks.join(whole.hint("merge"), ["d", "n"]).select("d", "n", "asks", "text").mapInArrow(_contexts(length), "key long, d long, n long, ws int, k int, need boolean, context binary")
+    contexts = asks.join(whole.hint("merge"), ["d", "n"]).select("d", "n", "asks", "text").mapInArrow(released(_contexts(length)), "key long, d long, n long, ws int, k int, need boolean, context binary")
     contexts = contexts.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    found = contexts.mapInArrow(_sorting(length), "d long, n long, ws int, k int")
+    found = contexts.mapInArrow(released(_sorting(length)), "d long, n long, ws int, k int")
     windows = judged.where("need is null").select("d", "n", "ws", "k").union(found)
     ranges = F.array_sort(F.collect_list(F.struct(F.col("ws").alias("start"), (F.col("ws") + F.col("k") - 1 + length).alias("stop"))))
     merged = windows.groupBy("d", "n").agg(ranges.alias("ranges")).mapInArrow(_spans(length), "d long, n long, spans array<struct<start:int,stop:int>>")
@@ -493,7 +493,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", as
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.xxhash64(F.col(text)).alias("d"), F.xxhash64(F.lit(SEED), F.col(text)).alias("n"), F.col(text).alias("text"))
     both = rows.join(spans, ["d", "n"], "left").select("rest.*", "spans", "text")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return both.mapInArrow(_cutting(rest, as_text), f"{kinds}, spans array<struct<start:int,stop:int>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}".lstrip(", "))
+    return both.mapInArrow(released(_cutting(rest, as_text)), f"{kinds}, spans array<struct<start:int,stop:int>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}".lstrip(", "))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
