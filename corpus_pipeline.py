@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = near_dup.near_duplicates(docs, width=5)
     kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("component_id").alias("_component"), F.col("n_shingles").alias("_n")).distinct()
     both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_digest")))
-    # rows that share a doc_id and a group are one document; texts without words have no group
+    # rows that share a doc_id and a group are one document: of repeated ids with near-equal texts one row stays; texts without words have no group
     one = both.where("_n > 0").dropDuplicates(["doc_id", "_component"])
     return one.unionByName(both.where("_n = 0")).select(*docs.columns)
 
