@@ -252,6 +252,14 @@ def test_ranks_do_not_need_one_task(spark):
     assert got == {i: order.index(a) for i, a in first.items()}
 
 
+def test_ranks_hold_for_many_instances(spark):
+    n = 50_000  # more than the sample that sets the bounds of the ranges
+    rows = spark.range(n).select(F.col("id").cast("string").alias("instance_id"), F.when(F.col("id") > 0, F.col("id") * 7919 % 1_000_003).alias("arrival_seq"))
+    order = [i for _, i in sorted((i * 7919 % 1_000_003, i) for i in range(1, n))] + [0]  # an instance without one comes last
+    got = {int(x.instance_id): x["rank"] for x in M.arrival_rank(rows).collect()}
+    assert got == {i: k for k, i in enumerate(order)}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "m.csv").write_text("ts,instance,pid,generation,rss_kb,heap_used_kb\n2024-01-01T00:00:00Z,a,1,0,5,\n2024-01-01T00:00:00Z,a,x,0,5,6\n")
     assert [r.rss_kb for r in R.memory_samples(spark, str(tmp_path / "m.csv")).collect()] == [5]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .closure import checkpointing
+
 PROBE = ["instance_id", "class_id", "probe_index"]
 METHOD = ["class_name", "method_name", "method_descriptor"]
 LOCATION = [*METHOD, "kind", "parameter_index", "outcome"]
@@ -111,10 +113,12 @@ def complete_flushes(batches: DataFrame) -> DataFrame:
 def arrival_rank(payloads: DataFrame) -> DataFrame:
     """Instances by their first accepted payload, from 0. Equal first payloads share a rank."""
     first = payloads.groupBy("instance_id").agg(F.min("arrival_seq").alias("first"))
-    # ranges of first, ranked inside and shifted by what lies below: no range holds all instances
+    # ranges of first, ranked inside and shifted by what lies below: no range holds all instances. The bounds come from a sample that differs
+    # each time the ranges are dealt, so they are dealt once and written. Without a first payload an instance comes last, as in SQL
     parts = max(1, int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = first.repartitionByRange(parts, "first").withColumn("part", F.spark_partition_id())
-    inner = ranged.withColumn("r", F.dense_rank().over(Window.partitionBy("part").orderBy("first")))
+    order = F.col("first").asc_nulls_last()
+    ranged = checkpointing(first.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()))
+    inner = ranged.withColumn("r", F.dense_rank().over(Window.partitionBy("part").orderBy(order)))
     sizes = inner.groupBy("part").agg(F.max("r").alias("n"))
     below = sizes.alias("a").join(F.broadcast(sizes).alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("below"))  # a row per partition
     return inner.join(F.broadcast(below), "part").select("instance_id", "first", (F.col("r") - 1 + F.col("below")).cast("int").alias("rank"))
