@@ -1,10 +1,13 @@
 """Operators 7 and 8 against the library itself."""
 
 import random
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from usagelens.llm import token_counts as token_counts_module
 from usagelens.llm.base import scratch
 from usagelens.llm.bpe import Codec, encode
 from usagelens.llm.token_counts import Counter, token_counts
@@ -28,6 +31,37 @@ def test_counts_equal_the_library():
     assert Counter(path).counts(texts()) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts()]
 
 
+def test_columns_count_as_the_library(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    some = [None, *texts(), "end\n ", "end \n", "x\n\n ", "a ", " b", None, "the end\n "] * 2
+    want = [len(tok.encode(t or "", add_special_tokens=False).ids) for t in some]
+    assert Counter(path).column(pa.array(some)).to_pylist() == want
+    assert Counter(path).column(pa.array(some)[5:-3]).to_pylist() == want[5:-3]
+    assert Counter(path).column(pa.array(some[:0], pa.string())).to_pylist() == []
+    monkeypatch.setattr(token_counts_module, "RUN", 500)
+    monkeypatch.setattr(token_counts_module, "MEMO", 20)
+    assert Counter(path).column(pa.array(some)).to_pylist() == want
+
+
+def test_words_are_looked_up_once_in_a_run():
+    counter, seen = Counter(public_tokenizers.path("byte_bpe_50k.json")), []
+    led = counter._led
+    counter._led = lambda words: seen.extend(words.to_pylist()) or led(words)
+    counter.column(pa.array([f"a the end of{i % 7}" for i in range(3_000)]))
+    assert sorted(seen) == sorted({"the", "end", *(f"of{i}" for i in range(7))})
+
+
+def test_remembered_words_stay_small():
+    counter, letters, before = Counter(public_tokenizers.path("byte_bpe_50k.json")), str.maketrans("0123456789", "aeinorstlu"), pa.total_allocated_bytes()
+    tracemalloc.start()
+    for a in range(0, 500_000, 20_000):
+        counter.counts([" ".join(f"x{i}".translate(letters) + "," for i in range(a, a + 20_000))])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 30e6
+
+
 def test_ids_and_decoding_equal_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, codec = Tokenizer.from_file(path), Codec(path)
