@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .base import materialize, partitions
+from .base import materialize, partitions, released
 from .token_counts import worker_counter
 
 #: Rows ranked in one group.
@@ -53,14 +53,11 @@ def _counting(path: str, text: str):
         counter = worker_counter(path)
         for batch in batches:
             col = batch.schema.get_field_index(text)
-            out = []
-            for a in range(0, batch.num_rows, 512):
-                out += counter.counts([t or "" for t in batch.column(col).slice(a, 512).to_pylist()])
             kept = [c for i, c in enumerate(batch.columns) if i != col]
             names = [c for i, c in enumerate(batch.schema.names) if i != col]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.int64())], [*names, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*kept, counter.column(batch.column(col))], [*names, "n_tokens"])
 
-    return run
+    return released(run)
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
